@@ -35,7 +35,7 @@ def iso_date(text: Column) -> Column:
     """An ISO 8601 date or date-time."""
     parts = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?\s*(Z|[+-]\d{2}:?\d{2})?\s*$"
     day, time, zone = (F.regexp_extract(text, parts, i) for i in (1, 2, 3))
-    time = F.when(time == "", F.lit("00:00")).otherwise(time)
+    time = F.when(time == "", "00:00:00").when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
     zone = F.when(zone == "", F.lit("Z")).otherwise(F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
     return F.when(day != "", F.try_to_timestamp(F.concat(day, F.lit("T"), time, zone)))
 

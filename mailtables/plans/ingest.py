@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from mailtables.functions.text import excerpt, file_name
 from mailtables.operators import dedupe, entities, parts, tagging
 from mailtables.operators.vectors import encode_column
 from mailtables.plans import messages as M
-from mailtables.schema import PARSED, columns
 from mailtables.sinks import tables
 from mailtables.sources import calendars, files, kinds, mime, xml_messages, zips
 
@@ -124,8 +124,6 @@ def stage(parsed: DataFrame, xml: DataFrame | None, events: DataFrame | None, st
 
 
 def _staged(spark: SparkSession, staged: str, part: str) -> DataFrame | None:
-    from pyspark.sql.utils import AnalysisException
-
     try:
         return spark.read.parquet(f"{staged}/{part}")
     except AnalysisException as error:
@@ -153,14 +151,11 @@ def store_batch(
     fresh = dedupe.keep_one(records, "external_id", M.READING_ORDER, "first", check_size=True)
     fresh = dedupe.not_stored(fresh, stored, "external_id", check_size=True)
     complete = M.complete(fresh, tagging.rules_from_config(config), model)
-    path = f"{staged}/complete"
-    complete.write.mode("overwrite").parquet(path)
-    complete = spark.read.parquet(path)
-
-    # Sorted files let a query for one account or period skip row groups.
-    tables.write_batch(
-        M.message_rows(complete).sortWithinPartitions("account_tag", "sent_at"), store, "messages", batch
-    )
+
+    # The messages files also hold the lists the narrow tables are made of, so bodies are written once. Readers
+    # ask for the table's own columns. Sorted files let a query for one account or period skip row groups.
+    tables.write_batch(complete.sortWithinPartitions("account_tag", "sent_at"), store, "messages", batch)
+    complete = spark.read.parquet(f"{store}/messages/batch={batch}")
     tables.write_batch(M.attachment_rows(complete), store, "attachments", batch)
     tables.write_batch(entities.entity_rows(complete), store, "entities", batch)
     tables.write_batch(tagging.tag_rows(complete), store, "account_tags", batch)
@@ -177,7 +172,3 @@ def store_batch(
             inputs = inputs.unionByName(other.select("path", "modified").distinct())
     tables.write_batch(inputs.distinct(), store, "inputs", batch)
     tables.commit(spark, store, batch, complete.count())
-
-
-def empty_parsed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PARSED).select(*columns(PARSED))

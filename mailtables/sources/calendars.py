@@ -32,7 +32,7 @@ def read_ics(spark: SparkSession, root: str, glob: str = GLOBS["ics"]) -> DataFr
 
 def events_in_content(raw: DataFrame) -> DataFrame:
     """Calendar events of raw rows that hold whole files (entries of a zip)."""
-    blocks = F.split(F.col("content").cast("string"), _BEGIN, -1)
+    blocks = F.split(_valid(F.col("content").cast("string")), _BEGIN, -1)
     return parse_events(raw.select("path", "modified", F.explode(blocks).alias("block")))
 
 
@@ -42,11 +42,7 @@ def parse_events(blocks: DataFrame) -> DataFrame:
     Folded lines are joined, the block is cut at its END line, and of each property the last value wins. What
     stands before the first event has no END line and goes.
     """
-    text = F.col("block")
-    valid = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.regexp_replace(F.make_valid_utf8(text), "\ufffd", "")
-    )
-    unfolded = F.regexp_replace(F.regexp_replace(valid, "\r\n?", "\n"), "\n[ \t]", "")
+    unfolded = F.regexp_replace(F.regexp_replace(_valid(F.col("block")), "\r\n?", "\n"), "\n[ \t]", "")
     whole = blocks.withColumn("block", unfolded).where(
         F.col("block").rlike(r"\A(BEGIN:VEVENT)?[ \t]*\n") & F.col("block").rlike(r"\n[ \t]*END:VEVENT[ \t]*(\n|\z)")
     )
@@ -64,6 +60,11 @@ def parse_events(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _valid(text: Column) -> Column:
+    """The text without bytes that are not UTF-8."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
+
+
 def _last(name: str) -> Column:
     """The last value of a property; parameters after `;` are cut, names match in any case."""
     found = F.regexp_extract_all(F.col("block"), F.lit(f"(?imd)^{name}(?:;[^:\\n]*)?:(.*)$"), F.lit(1))

@@ -107,21 +107,23 @@ def _parse(parser: BytesParser, content: bytes) -> dict:
         return _value(name, values[0]) if values else None
 
     def addresses(name: str) -> list[str]:
-        return [address for raw in headers.get(name.lower(), ()) for address in _addresses(_value(name, raw))]
+        return [address for raw in headers.get(name.lower(), ()) for address in _addresses(name, raw)]
 
     sender = first("From")
     subject = first("Subject")
-    date = first("Date")
+    message_id = first("Message-ID")
+    date = headers.get("date", [None])[0]
     body, attachments = _content(msg)
     return {
-        "id_header": first("Message-ID"),
+        "id_header": message_id,
         "from_header": sender,
-        "date_header": date,
+        # Only an id made from the headers needs the date in its normal form.
+        "date_header": first("Date") if date and not (message_id or "").strip() else date and _clean(date),
         "subject_header": subject,
         "thread_index": first("Thread-Index"),
         "thread_topic": first("Thread-Topic"),
         "sender_name": _decoded(sender),
-        "sender_email": next(iter(_addresses(sender or "")), ""),
+        "sender_email": next(iter(_addresses("From", sender or "")), ""),
         "recipients_to": addresses("To"),
         "recipients_cc": addresses("Cc"),
         "recipients_bcc": addresses("Bcc"),
@@ -139,15 +141,17 @@ def _clean(text: str) -> str:
 
 # Values that the structured header parser would return unchanged; it is slow, so they do not go through it.
 _PLAIN_TEXT = re.compile(r"[!-~](?:[ -~]*[!-~])?")
-_PLAIN_ADDRESS = re.compile(r"[A-Za-z0-9 ]+ <[\w.+-]+@[\w-]+(?:\.[\w-]+)+>|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.ASCII)
+_PLAIN_ID = re.compile(r"<?[!-;=?-~]+>?")
+_PLAIN_ADDRESS = re.compile(r"(?:[A-Za-z0-9 ]+ <)?([\w.+-]+@[\w-]+(?:\.[\w-]+)+)>?", re.ASCII)
+_PLAIN_ADDRESSES = re.compile(rf"{_PLAIN_ADDRESS.pattern}(?:,\s+{_PLAIN_ADDRESS.pattern})*", re.ASCII)
 _ADDRESS_HEADERS = {"From", "To", "Cc", "Bcc"}
 
 
 def _value(name: str, raw: str) -> str:
     """A header value, unfolded and decoded; the raw text where the header parser gives up."""
     raw = raw.strip(" ") if name in _ADDRESS_HEADERS else raw
-    plain = _PLAIN_ADDRESS if name in _ADDRESS_HEADERS else _PLAIN_TEXT
-    if name != "Date" and plain.fullmatch(raw) and "=?" not in raw:
+    plain = _PLAIN_ADDRESS if name in _ADDRESS_HEADERS else _PLAIN_ID if name == "Message-ID" else _PLAIN_TEXT
+    if name != "Date" and plain.fullmatch(raw) and raw.count("<") == raw.count(">") and "=?" not in raw:
         return raw
     try:
         return _clean(str(_POLICY.header_fetch_parse(name, raw)))
@@ -164,8 +168,11 @@ def _decoded(text: str | None) -> str:
         return text
 
 
-def _addresses(value: str) -> list[str]:
+def _addresses(name: str, raw: str) -> list[str]:
     """All addresses of a header value, also of one that strict parsing refuses as a whole."""
+    if _PLAIN_ADDRESSES.fullmatch(raw):
+        return _PLAIN_ADDRESS.findall(raw)
+    value = _value(name, raw)
     found = [address for _, address in getaddresses([value]) if address]
     return found or [address for _, address in getaddresses([value], strict=False) if "@" in address]
 
