@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import contract
 from mailtables.operators.tagging import Account, Rules
 from mailtables.session import configure
 from mailtables.sources.mime import render_message
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark, contract).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utc(column: str) -> Column:

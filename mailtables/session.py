@@ -1,12 +1,17 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, code shipping and the shared scratch folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from types import ModuleType
 
 from pyspark.sql import SparkSession
 
+import mailtables
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,16 +22,41 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
+_shipped: set[tuple[str, str]] = set()
 _local_scratch: str | None = None
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the library relies on; partition counts stay the cluster's."""
+def configure(spark: SparkSession, *packages: ModuleType) -> SparkSession:
+    """Apply the runtime settings the library relies on and send its code to the workers.
+
+    Partition counts and memory stay the cluster's business. `packages` are further packages whose functions run
+    in Python stages.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    for package in (mailtables, *packages):
+        _ship(spark, package)
     return spark
 
 
+def _ship(spark: SparkSession, package: ModuleType) -> None:
+    """Add a package's source to the workers' path, once per application."""
+    context = spark.sparkContext
+    key = (context.applicationId, package.__name__)
+    if key in _shipped:
+        return
+    _shipped.add(key)
+    folder = os.path.dirname(package.__file__)
+    archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{package.__name__}.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for base, _, names in os.walk(folder):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    context.addPyFile(archive)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
