@@ -34,7 +34,7 @@ def _numbered(rows: DataFrame, *order) -> DataFrame:
 
 
 def mime_roundtrip(spark, sf_dir):
-    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations")))
+    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations", heavy=True)))
     return parsed.select(
         F.col("block").alias("conv_id"),
         F.col("ordinal").alias("turn"),
@@ -49,7 +49,7 @@ def mime_roundtrip(spark, sf_dir):
 
 
 def message_record(spark, sf_dir):
-    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations")))
+    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations", heavy=True)))
     rows = csv_export.flat_columns(M.message_rows(M.complete(M.mail_records(parsed), tagging.Rules())))
     return rows.drop("message_id")
 
@@ -119,7 +119,7 @@ def ics_events(spark, sf_dir):
 def zip_entries(spark, sf_dir):
     """Documents packed into zip archives by the tasks that hold them, then listed and read in place."""
     folder = scratch_dir(spark, "zips")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    texts = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text", F.spark_partition_id().alias("part"))
     texts.mapInArrow(lambda batches: _write_zip(batches, folder), "archive string").write.format("noop").mode(
         "overwrite"
     ).save()
@@ -163,7 +163,7 @@ def xml_message_rows(spark, sf_dir):
         F.lit("<sent>2024-01-02T03:04:05+01:00</sent><Body>Segment "), F.col("c_mktsegment"), F.lit("</Body>"),
         F.when(F.col("c_acctbal") < 0, F.lit("</m:wrong>")).otherwise(F.lit("</m:email>")),
     )
-    source = table(spark, sf_dir, "customer").select(
+    source = table(spark, sf_dir, "customer", heavy=True).select(
         F.concat(F.lit("xml/"), number, F.lit("/message.xml")).alias("path"),
         F.lit(0).cast("timestamp").alias("modified"),
         content.cast("binary").alias("content"),
@@ -178,12 +178,12 @@ def xml_bodies(spark, sf_dir):
     """A message without a body in every customer's folder, rebuilt from the customer's orders as part files."""
     number = F.col("c_custkey").cast("string")
     content = F.concat(F.lit("<email><subject>"), F.col("c_name"), F.lit("</subject></email>"))
-    source = table(spark, sf_dir, "customer").select(
+    source = table(spark, sf_dir, "customer", heavy=True).select(
         F.concat(F.lit("xml/"), number, F.lit("/message.xml")).alias("path"),
         F.lit(0).cast("timestamp").alias("modified"),
         content.cast("binary").alias("content"),
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", heavy=True)
     part = F.concat(
         F.lit("xml/"), F.col("o_custkey"), F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"),
         F.lit(".com_0001"),
@@ -222,14 +222,14 @@ def source_kind(spark, sf_dir):
 
 
 def tag_accounts(spark, sf_dir):
-    tagged = tagging.tag_accounts(document_messages(table(spark, sf_dir, "documents")), DOCUMENT_RULES)
+    tagged = tagging.tag_accounts(document_messages(table(spark, sf_dir, "documents", heavy=True)), DOCUMENT_RULES)
     return tagged.select(
         F.col("message_id").alias("doc_id"), "account_tag", joined("partner_tags").alias("partner_tags")
     )
 
 
 def tag_rows(spark, sf_dir):
-    tagged = tagging.tag_accounts(document_messages(table(spark, sf_dir, "documents")), DOCUMENT_RULES)
+    tagged = tagging.tag_accounts(document_messages(table(spark, sf_dir, "documents", heavy=True)), DOCUMENT_RULES)
     return tagging.tag_rows(tagged).withColumnRenamed("message_id", "doc_id")
 
 
@@ -241,7 +241,7 @@ def tag_overrides(spark, sf_dir):
 
 
 def _entity_texts(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents", heavy=True).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("message_id"), F.col("text").alias("body")
     )
     sentence = F.concat(
@@ -250,7 +250,7 @@ def _entity_texts(spark, sf_dir):
         F.format_number("o_totalprice", 2), F.lit(", écrire à c"), F.col("o_custkey"),
         F.lit("@example.com 😀 or sales@example.com."),
     )
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders", heavy=True).select(
         F.concat(F.lit("o"), F.col("o_orderkey")).alias("message_id"), sentence.alias("body")
     )
     return documents.unionByName(orders)
@@ -264,7 +264,7 @@ def entities_regex(spark, sf_dir):
 
 def emails_distinct(spark, sf_dir):
     found = xml_messages.distinct_emails(F.array("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", joined(F.array_sort(found)).alias("emails"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", joined(F.array_sort(found)).alias("emails"))
 
 
 # --- search, reports ------------------------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def excerpts(spark, sf_dir):
 
 
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages", heavy=True).select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 def decode_bytes(spark, sf_dir):
@@ -373,7 +373,7 @@ def body_parts(spark, sf_dir):
     path = F.concat(
         F.lit("parts/"), F.col("conv_id"), F.lit("/"), F.lpad(F.col("turn").cast("string"), 9, "0"), F.lit(".txt")
     )
-    source = table(spark, sf_dir, "conversations").select(
+    source = table(spark, sf_dir, "conversations", heavy=True).select(
         path.alias("path"), F.concat(F.lit("\n"), F.col("text"), F.lit(" \t")).cast("binary").alias("content")
     )
     bodies = parts.bodies_from_parts(parts.part_texts(source), 1000)
@@ -408,14 +408,14 @@ DIMENSIONS = 256
 def hash_embed(spark, sf_dir):
     """The non-zero places of the stand-in embedding of every document."""
     encode = vectors.encode_column(lambda: vectors.hashing_encoder(DIMENSIONS))
-    embedded = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("embedding"))
+    embedded = table(spark, sf_dir, "documents", heavy=True).select("doc_id", encode("text").alias("embedding"))
     places = embedded.select("doc_id", F.posexplode("embedding").alias("place", "weight")).where(F.col("weight") != 0)
     return places.select("doc_id", F.col("place").cast("bigint"), F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 
 def semantic_text(spark, sf_dir):
     """Documents embedded from their excerpts and searched with an embedded query text."""
-    messages = document_messages(table(spark, sf_dir, "documents"))
+    messages = document_messages(table(spark, sf_dir, "documents", heavy=True))
     encode = vectors.encode_column(lambda: vectors.hashing_encoder(DIMENSIONS))
     embedded = messages.select("message_id", encode(X.excerpt(F.col("subject"), F.col("body"))).alias("embedding"))
     query = vectors.hashing_encoder(DIMENSIONS)(["thatin hehely ononst"])[0].tolist()
@@ -438,7 +438,7 @@ def csv_roundtrip(spark, sf_dir):
 def store_batches(spark, sf_dir):
     """Two batches of conversation mail stored one after the other; the second repeats part of the first."""
     store = scratch_dir(spark, "store")
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", heavy=True)
     config = {"accounts": [{"name": "Users", "domains": ["example.com"], "aliases": ["user"], "partners": ["Que"]}]}
     for batch, rows in (("first", turns.where("turn < 2")), ("second", turns.where("turn >= 1"))):
         staged = f"{store}/staged/batch={batch}"
@@ -459,7 +459,7 @@ def table_counts(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Conversation mail parsed, tagged and shown as the dossier of one account."""
-    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations")))
+    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations", heavy=True)))
     rules = tagging.Rules(accounts=(
         tagging.Account("Assistants", ("la",), (), ("Que",), ("de",)),
         tagging.Account("Users", (), ("example.com",), (), ()),

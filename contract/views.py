@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 import contract
 from mailtables.operators.tagging import Account, Rules
-from mailtables.session import configure
+from mailtables.session import configure, spread
 from mailtables.sources.mime import render_message
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark, contract).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; `heavy` says that much work per row follows, so a scan of few splits is spread out."""
+    rows = configure(spark, contract).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
 def utc(column: str) -> Column:

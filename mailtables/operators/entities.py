@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from mailtables.functions.patterns import DATE_JAVA, EMAIL_JAVA, MONEY_JAVA
 from mailtables.schema import ENTITY
 
-# Label, pattern and a text every match contains, in output order.
-KINDS = [("EMAIL", EMAIL_JAVA, "@"), ("DATE", DATE_JAVA, None), ("MONEY", MONEY_JAVA, "$")]
+# Label, pattern and characters of which every match contains one, in output order.
+KINDS = [("EMAIL", EMAIL_JAVA, "@"), ("DATE", DATE_JAVA, "-/"), ("MONEY", MONEY_JAVA, "$")]
 
 
 # Matches of one text are numbered in runs of this many, so that a text with very many stays near linear.
@@ -26,13 +26,12 @@ def add_entities(
     `model` is an optional pandas UDF from text to that array (its iterator form loads a model once per task).
     Offsets count characters, not bytes. A pattern runs only over texts that hold its fixed character.
     """
-    names = [f"_{label}" for label, _, _ in KINDS]
-    matched = {name: _matched(F.col(text), pattern, must) for name, (_, pattern, must) in zip(names, KINDS)}
-    found = [_located(F.col(text), F.col(name), label, pattern) for name, (label, pattern, _) in zip(names, KINDS)]
+    pieces = {f"_{label}": _pieces(F.col(text), pattern, must) for label, pattern, must in KINDS}
+    found = [_located(F.col(f"_{label}"), label) for label, _, _ in KINDS]
     if model is not None:
         found.insert(0, F.coalesce(model(F.col(text)), _none()))
-    # Two steps, so that the matches are searched once and then used several times.
-    return messages.withColumns(matched).withColumn("entities", F.concat(*found)).drop(*names)
+    # In two steps, so that a text is searched once and its pieces are used several times.
+    return messages.withColumns(pieces).withColumn("entities", F.concat(*found)).drop(*pieces)
 
 
 def entity_rows(messages: DataFrame) -> DataFrame:
@@ -45,32 +44,45 @@ def _none() -> Column:
     return F.array().cast(f"array<{ENTITY}>")
 
 
-def _matched(text: Column, pattern: str, must: str | None) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return found if must is None else F.when(F.contains(text, F.lit(must)), found)
+_CUT, _OTHER = "\x01", "\x02"
 
 
-def _located(text: Column, matched: Column, label: str, pattern: str) -> Column:
-    """Offsets of the matched texts, summed up over them and the gaps between them."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matched))
-    pairs = F.arrays_zip(matched.alias("m"), gaps.alias("g"))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(matched), F.lit(_RUN)), lambda first: F.slice(pairs, first, F.lit(_RUN))
-    )
+def _pieces(text: Column, pattern: str, must: str) -> Column:
+    """The text cut before and after each match: gap, match, gap, ..., gap. NULL where no match can be.
 
-    def one(state: Column, pair: Column) -> Column:
-        begin = state["pos"] + F.length(pair["g"])
-        end = begin + F.length(pair["m"])
+    Cut marks are put around the matches and the text is split there. A mark that the text already holds is
+    made another control character, which neither moves nor makes a match.
+    """
+    possible = F.contains(text, F.lit(must[0]))
+    for character in must[1:]:
+        possible = possible | F.contains(text, F.lit(character))
+    free = F.when(F.contains(text, F.lit(_CUT)), F.translate(text, _CUT, _OTHER)).otherwise(text)
+    return F.when(possible, F.split(F.regexp_replace(free, pattern, f"{_CUT}$0{_CUT}"), _CUT, -1))
+
+
+def _located(pieces: Column, label: str) -> Column:
+    """The matches among the pieces with their offsets, summed up piece by piece."""
+    count = F.floor(F.size(pieces) / 2).cast("int")
+
+    def one(state: Column, index: Column) -> Column:
+        matched = F.get(pieces, index * 2 + 1)
+        begin = state["pos"] + F.length(F.get(pieces, index * 2))
+        end = begin + F.length(matched)
         entity = F.struct(
-            F.lit(label).alias("label"), pair["m"].alias("text"), begin.alias("start_char"), end.alias("end_char")
+            F.lit(label).alias("label"), matched.alias("text"), begin.alias("start_char"), end.alias("end_char")
         )
         return F.struct(end.alias("pos"), F.concat(state["out"], F.array(entity)).alias("out"))
 
-    def run(done: Column, part: Column) -> Column:
+    def from_position(position: Column, indexes: Column) -> Column:
+        return F.aggregate(indexes, F.struct(position.alias("pos"), _none().alias("out")), one)
+
+    def run(done: Column, first: Column) -> Column:
         reached = F.coalesce(F.get(done, F.size(done) - 1)["pos"], F.lit(0))
-        start = F.struct(reached.alias("pos"), _none().alias("out"))
-        return F.concat(done, F.array(F.aggregate(part, start, one)))
+        last = F.least(first + (_RUN - 1), count - 1)
+        return F.concat(done, F.array(from_position(reached, F.sequence(first, last))))
 
     nothing = F.array().cast(f"array<struct<pos:int,out:array<{ENTITY}>>>")
-    located = F.flatten(F.transform(F.aggregate(runs, nothing, run), lambda r: r["out"]))
-    return F.when(F.size(matched) > 0, located).otherwise(_none())
+    runs = F.aggregate(F.sequence(F.lit(0), count - 1, F.lit(_RUN)), nothing, run)
+    many = F.flatten(F.transform(runs, lambda r: r["out"]))
+    few = from_position(F.lit(0), F.sequence(F.lit(0), count - 1))["out"]
+    return F.when(count > _RUN, many).when(count > 0, few).otherwise(_none())

@@ -18,24 +18,32 @@ TOP_K = 10
 _WORDS = re.compile(r"[a-z]+")
 
 
+class _Places(dict):
+    """Word -> place, remembered for the words met lately."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        place = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions
+        self[word] = place
+        return place
+
+
 def hashing_encoder(dimensions: int = 256) -> Callable[[list[str]], np.ndarray]:
     """A stand-in for a sentence model: unit-length counts of hashed words. Lexical only, not semantic.
 
     A word's place is the first 8 hex digits of its MD5 modulo `dimensions`.
     """
-    places: dict[str, int] = {}
-
-    def place(word: str) -> int:
-        if word not in places:
-            if len(places) >= 1_000_000:
-                places.clear()
-            places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
-        return places[word]
+    places = _Places(dimensions)
 
     def encode(texts: list[str]) -> np.ndarray:
         counts = np.zeros((len(texts), dimensions))
         for row, text in enumerate(texts):
-            spots = [place(word) for word in _WORDS.findall(text.lower())]
+            spots = [places[word] for word in _WORDS.findall(text.lower())]
             counts[row] = np.bincount(spots, minlength=dimensions) if spots else 0
         norms = np.linalg.norm(counts, axis=1, keepdims=True)
         return counts / np.where(norms == 0, 1, norms)

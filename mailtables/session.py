@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from types import ModuleType
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import mailtables
 
@@ -69,3 +69,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             _local_scratch = tempfile.mkdtemp(prefix="mailtables-")
         base = _local_scratch
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out over all cores, for a stage that is heavy per row.
+
+    A scan that already has as many splits as there are cores, which is any large one, stays as it is. Use it
+    directly on a scan: counting the splits of a plan with shuffles would run them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
