@@ -409,7 +409,7 @@ def hash_embed(spark, sf_dir):
     """The non-zero places of the stand-in embedding of every document."""
     encode = vectors.encode_column(lambda: vectors.hashing_encoder(DIMENSIONS))
     embedded = table(spark, sf_dir, "documents", heavy=True).select("doc_id", encode("text").alias("embedding"))
-    places = embedded.select("doc_id", F.posexplode("embedding").alias("place", "weight")).where(F.col("weight") != 0)
+    places = embedded.select("doc_id", F.posexplode_outer("embedding").alias("place", "weight")).where(F.col("weight") != 0)
     return places.select("doc_id", F.col("place").cast("bigint"), F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 

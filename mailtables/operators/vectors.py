@@ -74,4 +74,7 @@ def inner_product(vector: Column, query: list[float]) -> Column:
 def top_k(vectors: DataFrame, key: str, query: list[float], k: int = TOP_K, vector: str = "embedding") -> DataFrame:
     """The `k` rows with the largest inner product, as (key, score). Each task keeps only its own best `k`."""
     scored = vectors.select(key, inner_product(F.col(vector), query).alias("score"))
-    return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), F.asc(key)).limit(k)
+    best = scored.orderBy(F.desc_nulls_last("score"), F.asc(key)).limit(k)
+    # Rows without a vector go after the limit: a filter before it would be pushed into the scan of the vectors
+    # and work every score out twice.
+    return best.where(F.col("score").isNotNull())
