@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def is_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a key list has at most `max_rows` rows; counting stops just above that."""
+    return keys.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a key list for broadcast if a count proves it small. Counting stops just above the bound."""
-    if keys.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(keys)
-    return keys
+    """Mark a key list for broadcast if a count proves it small."""
+    return F.broadcast(keys) if is_small(keys, max_rows) else keys
 
 
 def keep_one(rows: DataFrame, key: str, order: list[str], keep: str = "first", check_size: bool = False) -> DataFrame:

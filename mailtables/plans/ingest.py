@@ -55,24 +55,42 @@ class Source:
     def part_files(self) -> DataFrame:
         if self.zipped:
             return self._entries(kinds.BODY_PART)
-        return files.read_files(self.spark, self.root)
+        return files.read_files(self.spark, self.root, files.GLOBS["part"])
+
+
+def unread(rows: DataFrame, source: Source, done: DataFrame | None) -> DataFrame:
+    """Rows of files that no earlier batch has read.
+
+    Names are compared first. Either the new or the known names of this source may then be few enough to send
+    to the tasks that read the files; if neither is, rows are shuffled by file, which spreads evenly.
+    """
+    if done is None:
+        return rows
+    key = ["path", "modified"]
+    listed = source.listing().select(*key)
+    if done.isEmpty():
+        return rows
+    new = listed.join(done, key, "left_anti")
+    if dedupe.is_small(new):
+        return rows.join(F.broadcast(new), key, "left_semi")
+    known = listed.join(done, key, "left_semi")
+    return rows.join(dedupe.broadcast_if_small(known), key, "left_anti")
 
 
 def read_mail(source: Source, done: DataFrame | None = None) -> DataFrame:
     """Parsed mail of a source, without the files that earlier batches have read."""
-    raw = source.mail()
-    if done is not None:
-        raw = raw.join(done, ["path", "modified"], "left_anti")
-    return mime.parse_mime(raw)
-
-
-def read_xml(source: Source, done: DataFrame | None = None) -> DataFrame:
-    """XML message records with rebuilt bodies and attachments."""
-    xml = source.xml()
-    if done is not None:
-        xml = xml.join(done, ["path", "modified"], "left_anti")
-    # Part files are opened only in folders that hold a message without a body.
-    needed = xml.where(F.col("body").isNull()).select("dir").distinct()
+    return mime.parse_mime(unread(source.mail(), source, done))
+
+
+def read_xml(source: Source, staged: str, done: DataFrame | None = None) -> DataFrame:
+    """XML message records with rebuilt bodies and attachments.
+
+    The records are written to `staged` first, as they are used twice: to see which folders need their part
+    files, and in the result.
+    """
+    unread(source.xml(), source, done).write.mode("overwrite").parquet(f"{staged}/xml_records")
+    xml = source.spark.read.parquet(f"{staged}/xml_records")
+    needed = dedupe.broadcast_if_small(xml.where(F.col("body").isNull()).select("dir").distinct())
     part_rows = source.part_files().withColumn("dir", parts.parent_dir(F.col("path")))
     bodies = parts.bodies_from_parts(parts.part_texts(part_rows.join(needed, "dir", "left_semi")))
     return M.xml_records(xml, bodies, parts.attachment_lists(source.listing()))
@@ -105,9 +123,9 @@ def ingest(
     done = tables.read_table(spark, store, "inputs")
     staged = f"{store}/staged/batch={batch}"
     parsed = read_mail(source, done)
-    events = source.events().join(done, ["path", "modified"], "left_anti")
+    events = unread(source.events(), source, done)
     if xml == "always" or (xml == "auto" and not has_mail(source)):
-        extra = read_xml(source, done)
+        extra = read_xml(source, staged, done)
     else:
         extra = None
     stage(parsed, extra, events, staged)

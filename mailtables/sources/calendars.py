@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailtables.functions.times import calendar_date
-from mailtables.sources.files import GLOBS
+from mailtables.sources.files import GLOBS, scanned_path
 
 _BEGIN = "\nBEGIN:VEVENT"
 
@@ -22,7 +22,7 @@ def read_ics(spark: SparkSession, root: str, glob: str = GLOBS["ics"]) -> DataFr
         .option("lineSep", _BEGIN)
         .text(root)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            scanned_path().alias("path"),
             F.col("_metadata.file_modification_time").alias("modified"),
             F.col("value").alias("block"),
         )

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailtables.schema import RAW
@@ -19,6 +19,7 @@ GLOBS = {
     "ics": "*.[iI][cC][sS]",
     "xml": "*.[xX][mM][lL]",
     "zip": "*.[zZ][iI][pP]",
+    "part": "*.{[cC][oO][mM]_00[01][0-9],[hH][tT][mM][lL],[hH][tT][mM],[rR][tT][fF],[tT][xX][tT]}",
 }
 
 RAW_ARROW = pa.schema(
@@ -57,6 +58,12 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def scanned_path() -> Column:
+    """The file of a text row, written as the binary file source writes paths: not percent-encoded."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
+
+
 def as_raw(files: DataFrame, kind: str) -> DataFrame:
     """Whole files as raw message rows."""
     return files.select(
@@ -96,7 +103,7 @@ def read_mbox(spark: SparkSession, root: str, glob: str = GLOBS["mbox"]) -> Data
 def mbox_rows(rows: DataFrame) -> DataFrame:
     """Text rows with the file and split they come from; the cast keeps 8-bit bytes as they are."""
     return rows.select(
-        F.col("_metadata.file_path").alias("path"),
+        scanned_path().alias("path"),
         F.lit("mbox").alias("kind"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified"),

@@ -6,6 +6,7 @@ neither a large archive nor one with many entries passes through a single task,
 
 from __future__ import annotations
 
+import math
 import struct
 import zipfile
 import zlib
@@ -39,6 +40,7 @@ _LISTING_ARROW = pa.schema(
 )
 _CHUNK = 1 << 20
 _BATCH_BYTES = 16 << 20
+_TASK_BYTES = 64 << 20
 
 
 def list_zip_entries(spark: SparkSession, root: str, glob: str = GLOBS["zip"]) -> DataFrame:
@@ -50,14 +52,17 @@ def read_zip_entries(listing: DataFrame, kind: str | None = None) -> DataFrame:
     """The contents of listed entries as raw rows: one per entry, or one per message of an mbox entry.
 
     Filter the listing first; entries that are not wanted are then never read. Rows are dealt out by
-    (archive, offset), a unique key, so that one archive may hold most of the entries.
+    (archive, offset), a unique key, so that one archive may hold most of the entries. The number of tasks
+    follows from the bytes they will read, as the few bytes that are shuffled say nothing about the work.
     """
     wanted = listing.where(F.col("error").isNull()).select(
         "archive", "path", (F.lit(kind) if kind else F.lit("file")).alias("kind"), "modified",
         "size_bytes", "header_offset", "packed_bytes", "method", "crc",
     )
-    spread = wanted.repartition("archive", "header_offset").sortWithinPartitions("archive", "header_offset")
-    return spread.mapInArrow(_read_entries, RAW)
+    total = wanted.agg(F.sum("packed_bytes")).first()[0] or 0
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, math.ceil(total / _TASK_BYTES))
+    spread = wanted.repartition(tasks, "archive", "header_offset")
+    return spread.sortWithinPartitions("archive", "header_offset").mapInArrow(_read_entries, RAW)
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:

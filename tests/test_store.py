@@ -28,9 +28,9 @@ def archive(write):
     write("in/plain.eml", S.PLAIN)
     write("in/sub/parts.eml", S.MULTIPART)
     write("in/sub/copy.eml", S.PLAIN)
-    write("in/box.mbox", S.MBOX)
-    write("in/one.emlx", S.EMLX)
-    write("in/cal.ics", S.CALENDAR)
+    write("in/My Mail+/50% box.mbox", S.MBOX)
+    write("in/My Mail+/one.emlx", S.EMLX)
+    write("in/My Mail+/cal 1.ics", S.CALENDAR)
 
 
 def test_a_new_store_has_the_five_tables(spark, tmp_path):
@@ -76,6 +76,16 @@ def test_ingest_again_reads_only_new_input(spark, archive, write, tmp_path):
     assert read(spark, store, "messages").count() == before + 1
 
 
+def test_unread_input_is_found_also_when_no_list_is_small(spark, archive, write, tmp_path, monkeypatch):
+    store, root = str(tmp_path / "store"), str(tmp_path / "in")
+    ingest.ingest(spark, root, store, CONFIG, "one")
+    write("in/new.eml", S.HTML_ONLY)
+    monkeypatch.setattr(ingest.dedupe, "is_small", lambda keys, max_rows=0: False)
+    ingest.ingest(spark, root, store, CONFIG, "two")
+    assert spark.read.parquet(f"{store}/staged/batch=two/parsed").count() == 1
+    assert read(spark, store, "messages").count() == 7 and read(spark, store, "events").count() == 3
+
+
 def test_an_uncommitted_batch_is_invisible_and_is_replaced(spark, archive, tmp_path, monkeypatch):
     store, root = str(tmp_path / "store"), str(tmp_path / "in")
     with monkeypatch.context() as patch:
