@@ -243,11 +243,11 @@ ORACLES: dict[str, str] = {
     """,
     "html_to_text": r"""
         SELECT page_id,
-            replace(replace(replace(replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(
                 regexp_replace(trim(regexp_replace(html,
                     '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<[^>]+>',
                     chr(1), 'g'), chr(1)), '\x01+', chr(10), 'g'),
-                '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text
+                '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g') AS text
         FROM pages
     """,
     "decode_bytes": "SELECT doc_id, text FROM documents",

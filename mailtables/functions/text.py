@@ -67,21 +67,22 @@ def looks_like_html(text: Column) -> Column:
 def like_anywhere(column: Column, query: str) -> Column:
     """`column LIKE '%query%'` with SQLite's rules: ASCII letters fold, `%` and `_` in the query are wildcards.
 
-    Java's `(?i)` folds ASCII only, which is exact. For an ASCII query a byte search over the lower-cased
-    column, which never misses a match, runs first so that the regex sees only its hits.
+    Java's `(?i)` folds ASCII only, which is exact. The texts between `%` are looked for one after the other and
+    never again (atomic groups): the first place of each is as good as any, and a long text stays linear. For an
+    ASCII query a byte search over the lower-cased column, which never misses a match, runs first so that the
+    regex sees only its hits.
     """
-    pieces = re.split(r"([%_])", query)
-    exact = "".join({"%": ".*", "_": "."}.get(p) or (re.escape(p) if p else "") for p in pieces)
-    regex = F.rlike(column, F.lit("(?is)" + exact))
+    segments = [segment for segment in query.split("%") if segment]
+    exact = [".".join(re.escape(part) for part in segment.split("_")) for segment in segments]
+    if len(exact) > 1:
+        exact = [r"\A", *(f"(?>.*?{segment})" for segment in exact)]
+    matched = F.rlike(column, F.lit("(?is)" + "".join(exact)))
     if not query.isascii():
-        return regex
+        return matched
     lowered = F.lower(column)
-    if "%" in query or "_" in query:
-        literals = [p.lower() for p in pieces if p and p not in "%_"]
-        for piece in literals:
-            regex = F.contains(lowered, F.lit(piece)) & regex
-        return regex
-    return F.contains(lowered, F.lit(query.lower())) & regex
+    for part in dict.fromkeys(part.lower() for segment in segments for part in segment.split("_") if part):
+        matched = F.contains(lowered, F.lit(part)) & matched
+    return matched
 
 
 def display_subject(subject: Column) -> Column:
