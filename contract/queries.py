@@ -6,7 +6,6 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +88,9 @@ def mbox_ordinal(spark, sf_dir):
         turns.repartition("box", "volume").sortWithinPartitions(*order)
         .select("box", "volume", "message").write.partitionBy("box", "volume").text(folder)
     )
-    parsed = mime.parse_mime(files.read_mbox(spark, folder, "*.txt"))
+    raw = files.read_mbox(spark, folder, "*.txt")
     ids = F.split("subject", "/")
-    return ordinals.number_messages(parsed).select(
+    return ordinals.number_messages(mime.parse_mime(raw), raw).select(
         ids[0].cast("bigint").alias("conv_id"),
         ids[1].cast("bigint").alias("turn"),
         F.col("position").cast("bigint").alias("position"),
@@ -133,7 +132,7 @@ def zip_entries(spark, sf_dir):
 
 def _write_zip(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """One archive per task, named after its partition, so that a repeated task writes the same file again."""
-    filesystem, base = zips.locate(folder)
+    filesystem, base = files.locate(folder)
     filesystem.create_dir(base, recursive=True)
     archive = None
     for batch in batches:

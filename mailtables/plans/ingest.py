@@ -13,7 +13,7 @@ from mailtables.operators import dedupe, entities, parts, tagging
 from mailtables.operators.vectors import encode_column
 from mailtables.plans import messages as M
 from mailtables.sinks import tables
-from mailtables.sources import calendars, files, kinds, mime, xml_messages, zips
+from mailtables.sources import calendars, files, kinds, mime, report, xml_messages, zips
 
 
 class Source:
@@ -107,19 +107,22 @@ def ingest(
     store: str,
     config: dict,
     batch: str,
-    zipped: bool = False,
+    zipped: bool | None = None,
     xml: str = "auto",
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
 ) -> None:
     """Read what is new below `root` and add it to the store as one batch.
 
+    `zipped` says whether `root` holds zip archives; by default they are recognised if it holds nothing else.
     `xml` is `auto` (only if there is no mail), `always` or `never`. `make_encoder` adds embeddings when the
     config enables `semantic`.
     """
     if batch in tables.committed(spark, store):
         return
-    source = Source(spark, root, zipped)
+    if zipped is None:
+        zipped = report.only_zips(spark, root)
+    source = Source(spark, root, zipped, "*" if zipped else None)
     done = tables.read_table(spark, store, "inputs")
     staged = f"{store}/staged/batch={batch}"
     parsed = read_mail(source, done)

@@ -101,4 +101,5 @@ def semantic_search(messages: DataFrame, embeddings: DataFrame, query: list[floa
             "account_tag",
         )
         .orderBy(F.desc("score"), F.asc("message_id"))
+        .limit(k)
     )

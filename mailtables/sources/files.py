@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,26 @@ RAW_ARROW = pa.schema(
 )
 
 
+def locate(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Spark path and the path's name in it."""
+    uri = path.replace("s3a://", "s3://", 1)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    if "://" in uri:
+        # Only scheme and host are parsed as a URI: Spark's paths are not percent-encoded.
+        scheme, _, rest = uri.partition("://")
+        host, _, name = rest.partition("/")
+        filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        return filesystem, f"{base.rstrip('/')}/{name}"
+    return fs.LocalFileSystem(), uri
+
+
+def open_file(path: str):
+    """Open a file inside a task, for reading parts of it."""
+    filesystem, name = locate(path)
+    return filesystem.open_input_file(name)
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Path, modification time and size of every file below `root`; no content is read."""
     return (

@@ -13,11 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.sources.files import GLOBS, RAW_ARROW, list_files, mbox_payload
+from mailtables.sources.files import GLOBS, RAW_ARROW, list_files, mbox_payload, open_file
 from mailtables.schema import RAW
 
 LISTING = (
@@ -65,25 +64,6 @@ def read_zip_entries(listing: DataFrame, kind: str | None = None) -> DataFrame:
     return spread.sortWithinPartitions("archive", "header_offset").mapInArrow(_read_entries, RAW)
 
 
-def locate(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a Spark path and the path's name in it."""
-    uri = path.replace("s3a://", "s3://", 1)
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" in uri:
-        # Only scheme and host are parsed as a URI: Spark's paths are not percent-encoded.
-        scheme, _, rest = uri.partition("://")
-        host, _, name = rest.partition("/")
-        filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-        return filesystem, f"{base.rstrip('/')}/{name}"
-    return fs.LocalFileSystem(), uri
-
-
-def _open(path: str):
-    filesystem, name = locate(path)
-    return filesystem.open_input_file(name)
-
-
 def _list_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     empty = dict.fromkeys(_LISTING_ARROW.names)
     for batch in batches:
@@ -92,7 +72,7 @@ def _list_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             base = empty | {"archive": archive, "path": archive, "modified": row["modified"]}
             rows = []
             try:
-                with _open(archive) as file, zipfile.ZipFile(file) as zipped:
+                with open_file(archive) as file, zipfile.ZipFile(file) as zipped:
                     for info in zipped.infolist():
                         if not info.is_dir():
                             rows.append(base | {
@@ -158,7 +138,7 @@ def _read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if row["archive"] != name:
                 if file is not None:
                     file.close()
-                name, file = row["archive"], _open(row["archive"])
+                name, file = row["archive"], open_file(row["archive"])
             base = {"path": row["path"], "kind": row["kind"], "block": 0, "ordinal": 0,
                     "modified": row["modified"], "content": None}
             try:

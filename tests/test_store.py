@@ -11,6 +11,8 @@ from mailtables.operators.vectors import hashing_encoder
 from mailtables.plans import ingest
 from mailtables.schema import TABLES, columns
 from mailtables.sinks import csv_export, tables
+from mailtables.sources import report
+from mailtables.sources.sidecar import read_sidecar
 from mailtables.streaming import incremental
 
 CONFIG = yaml.safe_load(S.RULES)
@@ -99,14 +101,14 @@ def test_an_uncommitted_batch_is_invisible_and_is_replaced(spark, archive, tmp_p
 
 def test_zipped_export_gives_the_same_tables(spark, archive, tmp_path):
     os.mkdir(tmp_path / "zips")
-    with zipfile.ZipFile(tmp_path / "zips" / "export.zip", "w", zipfile.ZIP_DEFLATED) as packed:
+    with zipfile.ZipFile(tmp_path / "zips" / "export", "w", zipfile.ZIP_DEFLATED) as packed:
         for folder, _, names in os.walk(tmp_path / "in"):
             for name in names:
                 path = os.path.join(folder, name)
                 packed.write(path, os.path.relpath(path, tmp_path))
     plain_store, zip_store = str(tmp_path / "a"), str(tmp_path / "b")
     ingest.ingest(spark, str(tmp_path / "in"), plain_store, CONFIG, "one")
-    ingest.ingest(spark, str(tmp_path / "zips"), zip_store, CONFIG, "one", zipped=True)
+    ingest.ingest(spark, str(tmp_path / "zips"), zip_store, CONFIG, "one")
     for table in TABLES:
         a, b = (sorted(map(repr, read(spark, s, table).collect())) for s in (plain_store, zip_store))
         assert a == b, table
@@ -167,3 +169,17 @@ def test_stream_reads_new_files_once(spark, write, tmp_path):
     assert spark.read.parquet(f"{store}/staged/batch=eml-1/parsed").count() == 2
     incremental.run_mail(spark, root, store, checkpoint, CONFIG)
     assert sorted(tables.committed(spark, store)) == ["eml-0", "eml-1", "emlx-0", "mbox-0"]
+
+
+def test_source_report_and_sidecar(spark, archive, write, tmp_path):
+    write("in/renamed", b"PK\x03\x04rest")
+    write("in/mail.pst", b"!BDN")
+    write("in/export.olm", b"PK\x03\x04")
+    write("in/hidden", b"!BDN")
+    write("in/what.bin", b"??")
+    kinds = {r.path.split("/")[-1]: r.source_kind for r in report.source_report(spark, str(tmp_path / "in")).collect()}
+    assert kinds["renamed"] == "zip" and kinds["mail.pst"] == kinds["hidden"] == "pst" and kinds["export.olm"] == "olm"
+    assert kinds["what.bin"] == "unsupported" and kinds["plain.eml"] == "eml" and kinds["50% box.mbox"] == "mbox"
+    assert not report.only_zips(spark, str(tmp_path / "in"))
+    path = write("s/index.meta.jsonl", '{"message_id": 5, "excerpt": "a"}\n{broken\n{"message_id": 7, "excerpt": null}\n{}\n')
+    assert [r.message_id for r in read_sidecar(spark, str(path)).collect()] == [5, 7]
