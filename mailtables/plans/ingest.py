@@ -111,12 +111,13 @@ def ingest(
     xml: str = "auto",
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
+    duplicates: str = "replace",
 ) -> None:
     """Read what is new below `root` and add it to the store as one batch.
 
     `zipped` says whether `root` holds zip archives; by default they are recognised if it holds nothing else.
     `xml` is `auto` (only if there is no mail), `always` or `never`. `make_encoder` adds embeddings when the
-    config enables `semantic`.
+    config enables `semantic`. `duplicates`: see `store_batch`.
     """
     if batch in tables.committed(spark, store):
         return
@@ -132,7 +133,7 @@ def ingest(
     else:
         extra = None
     stage(parsed, extra, events, staged)
-    store_batch(spark, staged, store, config, batch, make_encoder, model)
+    store_batch(spark, staged, store, config, batch, make_encoder, model, duplicates)
 
 
 def stage(parsed: DataFrame, xml: DataFrame | None, events: DataFrame | None, staged: str) -> None:
@@ -161,16 +162,28 @@ def store_batch(
     batch: str,
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
+    duplicates: str = "replace",
 ) -> None:
-    """Write the tables of one staged batch and commit it. Messages already stored are skipped."""
+    """Write the tables of one staged batch and commit it.
+
+    Of messages with one external id, `duplicates="replace"` keeps the last one read, which takes the place of a
+    stored one; `"skip"` keeps the first one, or the stored one.
+    """
     parsed = _staged(spark, staged, "parsed")
     records = M.mail_records(parsed)
     xml = _staged(spark, staged, "xml")
     if xml is not None:
         records = records.unionByName(xml)
     stored = tables.read_table(spark, store, "messages", keep_batch=True).where(F.col("batch") != batch)
-    fresh = dedupe.keep_one(records, "external_id", M.READING_ORDER, "first", check_size=True)
-    fresh = dedupe.not_stored(fresh, stored, "external_id", check_size=True)
+    if duplicates == "skip":
+        fresh = dedupe.keep_one(records, "external_id", M.READING_ORDER, "first", check_size=True)
+        fresh = dedupe.not_stored(fresh, stored, "external_id", check_size=True)
+    else:
+        fresh = dedupe.keep_one(records, "external_id", M.READING_ORDER, "last", check_size=True)
+        keys = dedupe.broadcast_if_small(records.select("external_id").distinct())
+        replaced = stored.select("message_id", "external_id", F.col("batch").alias("old_batch"))
+        replaced = replaced.join(keys, "external_id", "left_semi").drop("external_id")
+        tables.write_batch(replaced, store, "replaced", batch)
     complete = M.complete(fresh, tagging.rules_from_config(config), model)
 
     # The messages files also hold the lists the narrow tables are made of, so bodies are written once. Readers

@@ -2,6 +2,7 @@
 
     <store>/<table>/batch=<name>/...     rows of one batch
     <store>/inputs/batch=<name>/...      the files that batch has read
+    <store>/replaced/batch=<name>/...    which rows of earlier batches it replaces
     <store>/manifest/batch=<name>/...    written last; a batch without it is not visible
 
 A batch that fails is written again under the same name and replaces what it left behind, so every write may be
@@ -21,7 +22,12 @@ from pyspark.sql.utils import AnalysisException
 from mailtables.schema import EMBEDDINGS, TABLES
 
 INPUTS = "path string, modified timestamp"
-LAYOUTS = TABLES | {"embeddings": EMBEDDINGS, "inputs": INPUTS, "manifest": "batch_rows bigint"}
+REPLACED = "message_id bigint, old_batch string"
+LAYOUTS = TABLES | {
+    "embeddings": EMBEDDINGS, "inputs": INPUTS, "replaced": REPLACED, "manifest": "batch_rows bigint"
+}
+# Tables whose rows go when their message is replaced.
+_OF_MESSAGES = {"messages", "attachments", "entities", "account_tags", "embeddings"}
 
 
 def _read(spark: SparkSession, store: str, table: str) -> DataFrame:
@@ -43,9 +49,18 @@ def committed(spark: SparkSession, store: str) -> list[str]:
 def read_table(
     spark: SparkSession, store: str, table: str, keep_batch: bool = False, batches: list[str] | None = None
 ) -> DataFrame:
-    """A stored table, committed batches only; the batch filter prunes folders."""
+    """A stored table: committed batches only, without the rows that later batches have replaced.
+
+    The batch filter prunes folders. The list of replaced rows names them by (message_id, batch), a key that
+    spreads evenly; Spark broadcasts it while its files are small.
+    """
     visible = committed(spark, store) if batches is None else batches
     rows = _read(spark, store, table).where(F.col("batch").isin(visible))
+    if table in _OF_MESSAGES:
+        replaced = _read(spark, store, "replaced").where(F.col("batch").isin(visible))
+        if replaced.inputFiles():
+            gone = replaced.select("message_id", F.col("old_batch").alias("batch"))
+            rows = rows.join(gone, ["message_id", "batch"], "left_anti").select(*rows.columns)
     return rows if keep_batch else rows.drop("batch")
 
 

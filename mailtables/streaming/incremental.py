@@ -51,11 +51,13 @@ def run(
     config: dict,
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
+    duplicates: str = "skip",
 ) -> StreamingQuery:
     """Ingest everything new in a stream of raw rows, then stop.
 
     Each micro-batch becomes the store batch `<name>-<id>`. It is staged, de-duplicated against the store and
-    committed in that order; a batch that is run again after a failure replaces itself.
+    committed in that order; a batch that is run again after a failure replaces itself. Messages whose id is
+    already stored are skipped unless `duplicates` says `"replace"`.
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
@@ -63,7 +65,7 @@ def run(
         batch = f"{name}-{batch_id}"
         staged = f"{store}/staged/batch={batch}"
         ingest.stage(mime.parse_mime(rows), None, None, staged)
-        ingest.store_batch(spark, staged, store, config, batch, make_encoder, model)
+        ingest.store_batch(spark, staged, store, config, batch, make_encoder, model, duplicates)
 
     return (
         raw.writeStream.foreachBatch(handle)

@@ -62,20 +62,27 @@ def test_ingest_fills_all_tables(spark, archive, tmp_path):
     assert embedded.count() == 6 and embedded.where("excerpt like 'Café plans%'").count() == 1
 
 
-def test_ingest_again_reads_only_new_input(spark, archive, write, tmp_path):
+@pytest.mark.parametrize("duplicates", ["replace", "skip"])
+def test_ingest_again_reads_only_new_input(spark, archive, write, tmp_path, duplicates):
     store, root = str(tmp_path / "store"), str(tmp_path / "in")
-    ingest.ingest(spark, root, store, CONFIG, "one")
+    ingest.ingest(spark, root, store, CONFIG, "one", make_encoder=encoder)
     before = read(spark, store, "messages").count()
     write("in/new.eml", S.HTML_ONLY)
-    write("in/again.eml", S.PLAIN.replace(b"Meet", b"Changed"))
-    ingest.ingest(spark, root, store, CONFIG, "two")
+    changed = S.PLAIN.replace(b"Meet", b"Changed").replace(b"2024-01-05", b"2024-01-06 or 2024-01-07")
+    write("in/zagain.eml", changed)
+    for _ in range(2):  # the second time the batch is there already
+        ingest.ingest(spark, root, store, CONFIG, "two", make_encoder=encoder, duplicates=duplicates)
     after = read(spark, store, "messages")
-    assert after.count() == before + 1
-    assert after.where("external_id = '<plain@example.com>' and body like 'Meet%'").count() == 1
+    assert after.count() == before + 1 == read(spark, store, "embeddings").count()
+    kept = after.where("external_id = '<plain@example.com>'").collect()
+    assert [row.body.split()[0] for row in kept] == ["Changed" if duplicates == "replace" else "Meet"]
+    dates = read(spark, store, "entities").where(f"message_id = {kept[0].message_id} and label = 'DATE'").collect()
+    assert sorted(r.text for r in dates) == (
+        ["2024-01-06", "2024-01-07"] if duplicates == "replace" else ["2024-01-05"]
+    )
     assert spark.read.parquet(f"{store}/staged/batch=two/parsed").count() == 2
     assert read(spark, store, "events").count() == 3
-    ingest.ingest(spark, root, store, CONFIG, "two")
-    assert read(spark, store, "messages").count() == before + 1
+    assert read(spark, store, "account_tags").count() == 2
 
 
 def test_unread_input_is_found_also_when_no_list_is_small(spark, archive, write, tmp_path, monkeypatch):
