@@ -108,7 +108,7 @@ def ics_events(spark, sf_dir):
         F.lit("\nLOCATION:"), F.col("props"), F.lit("\nEND:VEVENT"),
     )
     folder = scratch_dir(spark, "ics")
-    table(spark, sf_dir, "events").select(event.alias("value")).write.text(folder)
+    table(spark, sf_dir, "events", heavy=True).select(event.alias("value")).write.text(folder)
     return calendars.read_ics(spark, folder, "*.txt").select(
         "kind", "title", bare(F.col("starts_at")).alias("starts_at"), bare(F.col("ends_at")).alias("ends_at"),
         "location",

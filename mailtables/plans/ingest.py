@@ -17,17 +17,21 @@ from mailtables.sources import calendars, files, kinds, mime, report, xml_messag
 
 
 class Source:
-    """The readable contents of a folder tree or of the zip archives in it, by kind."""
+    """The readable contents of a folder tree or of the zip archives in it, by kind.
 
-    def __init__(self, spark: SparkSession, root: str, zipped: bool = False, glob: str | None = None):
+    The listing is used several times, so it is written to `listed` and read from there; no content is read for it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, listed: str, zipped: bool = False):
         self.spark, self.root, self.zipped = spark, root, zipped
-        self._listing = zips.list_zip_entries(spark, root, glob or files.GLOBS["zip"]) if zipped else None
+        found = zips.list_zip_entries(spark, root, "*") if zipped else files.list_files(spark, root)
+        found.write.mode("overwrite").parquet(listed)
+        self._listing = spark.read.parquet(listed)
 
     def listing(self) -> DataFrame:
-        """(path, modified, size_bytes) of every file; no content is read."""
-        if self.zipped:
-            return self._listing.where(F.col("error").isNull()).select("path", "modified", "size_bytes")
-        return files.list_files(self.spark, self.root)
+        """(path, modified, size_bytes) of every file."""
+        readable = self._listing.where(F.col("error").isNull()) if self.zipped else self._listing
+        return readable.select("path", "modified", "size_bytes")
 
     def _entries(self, pattern: str, kind: str | None = None) -> DataFrame:
         return zips.read_zip_entries(self._listing.where(F.col("path").rlike(pattern)), kind)
@@ -123,9 +127,9 @@ def ingest(
         return
     if zipped is None:
         zipped = report.only_zips(spark, root)
-    source = Source(spark, root, zipped, "*" if zipped else None)
-    done = tables.read_table(spark, store, "inputs")
     staged = f"{store}/staged/batch={batch}"
+    source = Source(spark, root, f"{staged}/listing", zipped)
+    done = tables.read_table(spark, store, "inputs")
     parsed = read_mail(source, done)
     events = unread(source.events(), source, done)
     if xml == "always" or (xml == "auto" and not has_mail(source)):
