@@ -72,4 +72,35 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::int AS shard,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1, "op5_sharding": OP5}
+OP2 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS ints
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.ints::double[], v.ints::double[])::bigint AS score
+  FROM vectors q JOIN vectors v ON q.vec_id <> v.vec_id
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP10 = """
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_page
+  FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_page THEN first_page END AS refers_to
+FROM firsts
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op10_warc": OP10}

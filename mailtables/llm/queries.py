@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailtables.llm import mixing, sharding
+from mailtables.llm import mixing, sharding, topk, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +22,26 @@ def op1_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.scaled(F.col("embedding"), 64).alias("ints"))
+    return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
 def op5_sharding(spark, sf_dir):
     plan = sharding.plan_shards(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_topk": op2_topk,
     "op5_sharding": op5_sharding,
+    "op10_warc": op10_warc,
 }
