@@ -88,6 +88,40 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9 = f"""
+WITH item_words AS (
+  SELECT coalesce(item_id::varchar, '') AS item,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_PLAIN}') AS ws
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS phrase, least(13, len(ws)) AS n
+  FROM (SELECT *, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM item_words WHERE len(ws) > 0)
+), doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_PLAIN}') AS ws
+  FROM documents
+), runs AS (
+  SELECT row_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+  FROM (
+    SELECT row_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n
+  )
+), hits AS (
+  SELECT row_id, item, i, r.n FROM runs r JOIN windows w ON r.phrase = w.phrase AND r.n = w.n
+), hit_words AS (
+  SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), hit_items AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_id, item FROM hits) GROUP BY 1
+)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
+"""
+
 OP10 = """
 WITH digests AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes,
@@ -103,4 +137,7 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op10_warc": OP10}
+ORACLES: dict[str, str] = {
+    "op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op9_decontamination": OP9,
+    "op10_warc": OP10,
+}

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import mixing, sharding, topk, warc
+from mailtables.llm import decontaminate, mixing, sharding, topk, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(configure(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table. Arrow batches are bounded in bytes, as some rows here are whole index segments."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mixing(spark, sf_dir):
@@ -33,6 +36,11 @@ def op5_sharding(spark, sf_dir):
     return plan.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_decontamination(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found)
+
+
 def op10_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -43,5 +51,6 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
     "op5_sharding": op5_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }

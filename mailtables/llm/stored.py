@@ -12,11 +12,11 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 
 
-def saved(rows: DataFrame, label: str) -> DataFrame:
+def saved(rows: DataFrame, label: str, **options) -> DataFrame:
     """Write `rows` to the shared folder and read them back: cuts the lineage, survives lost executors."""
     spark = rows.sparkSession
     folder = scratch_dir(spark, label)
-    rows.write.parquet(folder)
+    rows.write.options(**options).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
