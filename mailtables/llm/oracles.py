@@ -88,6 +88,36 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP6 = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '{_WORD}') AS ws
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3
+      THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: hash(array_to_string(ws[i:i + 2], ' '))))
+      WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END AS shingles
+  FROM doc_words
+), rows AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n + b.n) AS total
+  FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (total - shared)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(start, node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT start, b FROM reached JOIN ways ON a = node
+)
+SELECT doc_id, len(shingles)::bigint AS n_shingles, component_id
+FROM sets JOIN (SELECT start AS doc_id, min(node) AS component_id FROM reached GROUP BY 1) USING (doc_id)
+"""
+
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -138,6 +168,7 @@ FROM firsts
 """
 
 ORACLES: dict[str, str] = {
-    "op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op9_decontamination": OP9,
+    "op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op6_jaccard": OP6,
+    "op9_decontamination": OP9,
     "op10_warc": OP10,
 }

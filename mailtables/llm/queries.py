@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import decontaminate, mixing, sharding, topk, warc
+from mailtables.llm import decontaminate, jaccard, mixing, sharding, topk, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_sharding(spark, sf_dir):
     return plan.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_jaccard(spark, sf_dir):
+    return jaccard.link_groups(table(spark, sf_dir, "documents"), length=3, link=(90, 100))
+
+
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
     "op5_sharding": op5_sharding,
+    "op6_jaccard": op6_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
