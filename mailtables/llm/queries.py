@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import decontaminate, jaccard, mixing, sharding, topk, warc
+from mailtables.llm import decontaminate, jaccard, mixing, sharding, topk, toxicity, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op2_topk(spark, sf_dir):
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
 
 
+def op4_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(documents, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark, sf_dir):
     plan = sharding.plan_shards(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -54,6 +59,7 @@ def op10_warc(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
     "op9_decontamination": op9_decontamination,
