@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import decontaminate, jaccard, mixing, sharding, topk, toxicity, warc
+from mailtables.llm import decontaminate, jaccard, mixing, sharding, suffixes, topk, toxicity, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op6_jaccard(spark, sf_dir):
     return jaccard.link_groups(table(spark, sf_dir, "documents"), length=3, link=(90, 100))
 
 
+def op8_suffix_array(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
+    "op8_suffix_array": op8_suffix_array,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
