@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailtables.llm import mixing, sharding
+from mailtables.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from mailtables.llm.queries import table
 from mailtables.llm.stored import saved
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go (a score of 0.5 or more); the classifier is fitted on `labels`."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the smallest id stays."""
+    return jaccard.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go: one word in twenty or more lies in a window of 13 words of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources come near their target weights."""
     return mixing.mix(docs)
@@ -19,7 +34,13 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("mixing", mixed), ("sharding", sharded)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("jaccard", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
 #: A trained classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
