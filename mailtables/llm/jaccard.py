@@ -16,7 +16,8 @@ from mailtables.llm.words import SPACED, lists, mixed, numbered, pieces, words
 WORDS = 5
 #: Two sets link when LINK[1] * intersection >= LINK[0] * union.
 LINK = (80, 100)
-GROUPS = 64
+#: Groups of a point; sets of `FINE_FROM` shingles or more have a finer point besides, as chance evens out large counts.
+GROUPS, FINE_GROUPS, FINE_FROM = 64, 512, 1000
 _LEAF, _FAN_OUT = 32, 8
 _HEAT_BITS = 16
 #: Members of a block or group in one task; larger ones are dealt into chunks, and every two chunks meet in a task.
@@ -39,7 +40,7 @@ def shingle_sets(column: pa.Array, length: int) -> Iterator[np.ndarray]:
             yield np.unique(runs[start:stop - length + 1])
         elif stop > start:
             few = mixed(numbers[start:stop] + factors[:stop - start]) * factors[:stop - start]
-            yield mixed(np.array([few.sum(dtype=np.uint64) + factors[length] * np.uint64(stop - start)]))
+            yield mixed(few.sum(dtype=np.uint64, keepdims=True) + factors[length:] * np.uint64(stop - start))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -65,9 +66,7 @@ def shingle_heat(docs: DataFrame, length: int) -> np.ndarray:
         for batch in batches:
             for part in pieces(batch, 0):
                 for shingles in shingle_sets(part.column(0), length):
-                    counts += np.bincount(_bucket(shingles), minlength=len(counts)) if len(shingles) > 4096 else 0
-                    if len(shingles) <= 4096:
-                        np.add.at(counts, _bucket(shingles), 1)
+                    np.add.at(counts, _bucket(shingles), 1)
         buckets = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts[buckets])], ["bucket", "n"])
 
@@ -78,14 +77,56 @@ def shingle_heat(docs: DataFrame, length: int) -> np.ndarray:
     return np.log2(np.maximum(1, counts / max(1e-9, counts.mean()))).astype(np.uint8)
 
 
-def _group_counts(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """Shingles counted by group, up to 255 a group, and how many were beyond."""
-    group = (mixed(shingles + np.uint64(99)) >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(group, minlength=GROUPS)
-    return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
-
-
-_SET_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, groups binary, beyond bigint"
+def _group_counts(shingles: np.ndarray) -> bytes:
+    """Shingles counted by group, up to 255 a group: `GROUPS` bytes, and `FINE_GROUPS` more for a large set."""
+    scrambled = mixed(shingles + np.uint64(99))
+    counts = np.minimum(np.bincount((scrambled >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 255)
+    if len(shingles) < FINE_FROM:
+        return counts.astype(np.uint8).tobytes()
+    fine = np.minimum(np.bincount((scrambled >> np.uint64(55)).astype(np.int64), minlength=FINE_GROUPS), 255)
+    return np.concatenate([counts, fine]).astype(np.uint8).tobytes()
+
+
+class Points:
+    """Sets as points of group counts. What lies beyond 255 in a group is the size less the sum of the counts."""
+
+    def __init__(self, data: list[bytes], sizes: np.ndarray):
+        self.sizes = sizes
+        self.counts = np.frombuffer(b"".join(d[:GROUPS] for d in data), np.uint8).reshape(-1, GROUPS)
+        self.beyond = sizes - self.counts.sum(axis=1, dtype=np.int64)
+        large = [d[GROUPS:] for d in data if len(d) > GROUPS]
+        self.fine = np.frombuffer(b"".join(large), np.uint8).reshape(-1, FINE_GROUPS)
+        self.fine_row = np.cumsum(np.array([len(d) > GROUPS for d in data], np.int64)) - 1
+        self.fine_row[np.array([len(d) == GROUPS for d in data], bool)] = -1
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def part(self, start: int, stop: int) -> Points:
+        some = Points.__new__(Points)
+        some.sizes, some.counts, some.beyond = self.sizes[start:stop], self.counts[start:stop], self.beyond[start:stop]
+        some.fine, some.fine_row = self.fine, self.fine_row[start:stop]
+        return some
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, link: tuple[int, int]) -> np.ndarray:
+        """Whether the summed minima of the points' counts leave room for a link; finer counts are looked at last."""
+        num, den = link
+        needed = num * (self.sizes[i] + self.sizes[j])
+        overlap = np.minimum(self.counts[i], self.counts[j]).sum(axis=1, dtype=np.int64)
+        near = (overlap + np.minimum(self.beyond[i], self.beyond[j])) * (num + den) >= needed
+        both = np.flatnonzero(near & (self.fine_row[i] >= 0) & (self.fine_row[j] >= 0))
+        for at in range(0, len(both), _PAIRS_AT_ONCE // 8):
+            some = both[at:at + _PAIRS_AT_ONCE // 8]
+            a, b = self.fine[self.fine_row[i[some]]], self.fine[self.fine_row[j[some]]]
+            overlap = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            beyond = np.minimum(
+                self.sizes[i[some]] - a.sum(axis=1, dtype=np.int64), self.sizes[j[some]] - b.sum(axis=1, dtype=np.int64)
+            )
+            near[some] = (overlap + beyond) * (num + den) >= needed[some]
+        return near
+
+
+_SET_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, groups binary"
 
 
 def described(docs: DataFrame, length: int, link: tuple[int, int], heat: np.ndarray) -> DataFrame:
@@ -103,18 +144,16 @@ def described(docs: DataFrame, length: int, link: tuple[int, int], heat: np.ndar
                 rows, keys = [], []
                 for shingles in shingle_sets(part.column(1), length):
                     first, second = _signature(shingles)
-                    counts, beyond = _group_counts(shingles)
                     n = len(shingles)
                     prefix = n - -(-n * num // den) + 1 if n else 0
                     keys.append(shingles[np.lexsort((shingles, levels.value[_bucket(shingles)]))[:prefix]])
-                    rows.append((n, first, second, counts.tobytes(), beyond))
-                n, s1, s2, points, beyond = zip(*rows)
+                    rows.append((n, first, second, _group_counts(shingles)))
+                n, s1, s2, points = zip(*rows)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
                     lists(np.concatenate(keys).view(np.int64), ends), pa.array(points, pa.binary()),
-                    pa.array(beyond, pa.int64()),
-                ], ["doc_id", "n", "s1", "s2", "keys", "groups", "beyond"])
+                ], ["doc_id", "n", "s1", "s2", "keys", "groups"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(describe, _SET_DDL)
 
@@ -122,18 +161,18 @@ def described(docs: DataFrame, length: int, link: tuple[int, int], heat: np.ndar
 class CountTree:
     """An R-tree of group counts, loaded in bulk: points are halved along their widest coordinate down to leaves."""
 
-    def __init__(self, points: np.ndarray, beyond: np.ndarray, sizes: np.ndarray, link: tuple[int, int]):
-        self.points, self.beyond, self.sizes, self.link = points, beyond, sizes, link
+    def __init__(self, points: Points, link: tuple[int, int]):
+        self.points, self.link = points, link
         self.leaves: list[np.ndarray] = []
         self._load(np.arange(len(points)))
         self.levels = [[np.array([i]) for i in range(len(self.leaves))]]
         while len(self.levels[-1]) > 1:
             below = len(self.levels[-1])
             self.levels.append([np.arange(i, min(i + _FAN_OUT, below)) for i in range(0, below, _FAN_OUT)])
-        high = np.array([self.points[leaf].max(axis=0) for leaf in self.leaves], np.uint8)
-        more = np.array([self.beyond[leaf].max() for leaf in self.leaves])
-        least = np.array([self.sizes[leaf].min() for leaf in self.leaves])
-        most = np.array([self.sizes[leaf].max() for leaf in self.leaves])
+        high = np.array([points.counts[leaf].max(axis=0) for leaf in self.leaves], np.uint8)
+        more = np.array([points.beyond[leaf].max() for leaf in self.leaves])
+        least = np.array([points.sizes[leaf].min() for leaf in self.leaves])
+        most = np.array([points.sizes[leaf].max() for leaf in self.leaves])
         self.boxes = [(high, more, least, most)]
         for level in self.levels[1:]:
             high, more, least, most = self.boxes[-1]
@@ -146,7 +185,7 @@ class CountTree:
         if len(members) <= _LEAF:
             self.leaves.append(members)
             return
-        some = self.points[members]
+        some = self.points.counts[members]
         widest = int(np.argmax(some.max(axis=0).astype(int) - some.min(axis=0)))
         halves = np.argpartition(some[:, widest], len(members) // 2)
         self._load(members[halves[:len(members) // 2]])
@@ -188,16 +227,10 @@ class CountTree:
                 left.append(np.repeat(one, len(two)))
                 right.append(np.tile(two, len(one)))
         i, j = np.concatenate(left), np.concatenate(right)
-        near = may_link(self.points, self.beyond, self.sizes, i, j, self.link)
+        near = self.points.may_link(i, j, self.link)
         return i[near], j[near]
 
 
-def may_link(points, beyond, sizes, i, j, link: tuple[int, int]) -> np.ndarray:
-    num, den = link
-    overlap = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
-    return overlap * (num + den) >= num * (sizes[i] + sizes[j])
-
-
 class Forest:
     """Which of `count` points are known to be linked, and the links that were needed to know it."""
 
@@ -226,7 +259,7 @@ class Forest:
         return np.concatenate([x[0] for x in self.links]), np.concatenate([x[1] for x in self.links])
 
 
-def join_block(points, beyond, sizes, link, verify=None) -> tuple[np.ndarray, np.ndarray]:
+def join_block(points: Points, link: tuple[int, int], verify=None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs that the tree lets through and `verify(i, j)` confirms (all, without it).
 
     Pairs of points already connected are left out: they cannot change a component.
@@ -234,10 +267,10 @@ def join_block(points, beyond, sizes, link, verify=None) -> tuple[np.ndarray, np
     forest = Forest(len(points))
     if len(points) <= _LEAF:
         i, j = np.triu_indices(len(points), 1)
-        near = may_link(points, beyond, sizes, i, j, link)
+        near = points.may_link(i, j, link)
         _confirm(forest, i[near], j[near], verify)
         return forest.edges()
-    tree = CountTree(points, beyond, sizes, link)
+    tree = CountTree(points, link)
     a, b = tree.leaf_pairs()
     step = max(1, _PAIRS_AT_ONCE // _LEAF**2)
     while len(a):
@@ -306,22 +339,20 @@ def _edges_batch(nodes: np.ndarray, edges) -> pa.RecordBatch:
 
 
 def _block_candidates(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows key, tile, node, n, groups, beyond sorted by key and tile: a forest of each block's surviving pairs."""
+    """Rows key, tile, node, n, groups sorted by key and tile: a forest of each block's surviving pairs."""
     for table in _runs(batches, 2):
         cuts = _cuts(table, 2)
-        nodes, sizes, beyond = (table.column(name).to_numpy() for name in ("node", "n", "beyond"))
-        data = table.column("groups").combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        points = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, GROUPS)
+        nodes = table.column("node").to_numpy()
+        points = Points(table.column("groups").to_pylist(), table.column("n").to_numpy())
         edges = []
         width = np.diff(cuts)
         twos = cuts[:-1][width == 2]
         for at in range(0, len(twos), _PAIRS_AT_ONCE):
             i = twos[at:at + _PAIRS_AT_ONCE]
-            near = may_link(points, beyond, sizes, i, i + 1, link)
+            near = points.may_link(i, i + 1, link)
             edges.append((i[near], i[near] + 1))
         for start, stop in zip(cuts[:-1][width > 2].tolist(), cuts[1:][width > 2].tolist()):
-            a, b = join_block(points[start:stop], beyond[start:stop], sizes[start:stop], link)
+            a, b = join_block(points.part(start, stop), link)
             edges.append((a + start, b + start))
         yield _edges_batch(nodes, edges)
 
@@ -335,16 +366,14 @@ def _verified(batches: Iterator[pa.RecordBatch], link: tuple[int, int]) -> Itera
         texts = table.column("shingles").to_pylist()
         for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             sets = [np.frombuffer(data, np.uint64) for data in texts[start:stop]]
-            described_ = [_group_counts(s) for s in sets]
-            points = np.array([d[0] for d in described_], np.uint8)
-            beyond = np.array([d[1] for d in described_], np.int64)
+            points = Points([_group_counts(s) for s in sets], np.array([len(s) for s in sets], np.int64))
 
             def verify(i, j, sets=sets):
                 both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())]
                 either = [len(sets[x]) + len(sets[y]) - n for x, y, n in zip(i.tolist(), j.tolist(), both)]
                 return den * np.array(both, np.int64) >= num * np.array(either, np.int64)
 
-            a, b = join_block(points, beyond, np.array([len(s) for s in sets], np.int64), link, verify)
+            a, b = join_block(points, link, verify)
             edges.append((a + start, b + start))
         yield _edges_batch(nodes, edges)
 
@@ -376,7 +405,7 @@ def link_groups(docs: DataFrame, length: int = WORDS, link: tuple[int, int] = LI
     """
     narrow = docs.select("doc_id", "text")
     sets = saved(described(narrow, length, link, shingle_heat(narrow, length)), "shingle-sets")
-    point = F.struct("keys", "groups", "beyond")
+    point = F.struct("keys", "groups")
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min_by(point, "doc_id").alias("point")
     )
@@ -406,10 +435,10 @@ def _candidates(classes: DataFrame, link: tuple[int, int]) -> DataFrame:
     blocks = saved(blocks.groupBy("members", "low", "high", "sign").agg(F.min("key").alias("key")), "blocks")
     pairs = blocks.filter("members = 2").select("key", F.lit(2).cast("bigint").alias("members"), F.explode(F.array("low", "high")).alias("node"))
     more = keys.join(lookup(blocks.filter("members > 2").select("key", "members")), "key").select("key", "members", "node")
-    points = classes.select("node", "n", "groups", "beyond")
+    points = classes.select("node", "n", "groups")
     rows = pairs.unionByName(more).join(points, "node")
     chunks = F.ceil(F.col("members") / _CHUNK)
-    rows = rows.select("key", F.explode(_tiles(F.col("node"), chunks)).alias("tile"), "node", "n", "groups", "beyond")
+    rows = rows.select("key", F.explode(_tiles(F.col("node"), chunks)).alias("tile"), "node", "n", "groups")
     rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
     return rows.mapInArrow(lambda batches: _block_candidates(batches, link), "a bigint, b bigint")
 
@@ -443,4 +472,5 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Rows without words, or without doc_id, stay. Rows that repeat a doc_id stay or go together.
     """
     found = link_groups(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(saved(found, "near-copies"), F.col("doc_id") == F.col("copy"), "left_anti")
+    found = saved(found, "near-copies")
+    return docs.join(found, docs["doc_id"] == found["copy"], "left_anti")
