@@ -292,8 +292,8 @@ def judged(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not contaminated, all columns. Rows are told apart by id and text."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    key = F.xxhash64(docs["doc_id"].cast("string"), docs["text"])
     keyed = docs.select(key.alias("doc_id"), "text")
     bad = judged(find(keyed, benchmark, **options)).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
     bad = saved(bad, "contaminated")
-    return docs.join(bad, key == F.col("bad"), "left_anti")
+    return docs.join(bad, key == bad["bad"], "left_anti")

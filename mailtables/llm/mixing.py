@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailtables.llm.ranks import range_sorted, running_total, shuffle_number
-from mailtables.llm.stored import lookup, saved
+from mailtables.llm.stored import lookup, packed, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -130,9 +130,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = plan_mix(docs, **options).filter("copies > 0")
     plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
     plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in plan.columns])
-    rows = docs.alias("d")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"mix_{c}")) for c in ("doc_id", "source")]
-    joined = rows.join(plan, [*same, word_count(F.col("d.text")) == F.col("mix_size")])
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(
-        *[F.col(c) for c in docs.columns]
-    )
+    rows = packed(docs, "doc")
+    same = [F.col(f"doc.{c}").eqNullSafe(F.col(f"mix_{c}")) for c in ("doc_id", "source")]
+    joined = rows.join(plan, [*same, word_count(F.col("doc.text")) == F.col("mix_size")])
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("doc.*")

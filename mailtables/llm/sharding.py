@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailtables.llm.ranks import SHUFFLE_RANGE, range_sorted, running_total, shuffle_number
-from mailtables.llm.stored import lookup, saved
+from mailtables.llm.stored import lookup, packed, saved
 
 SHARDS = 16
 
@@ -75,16 +75,13 @@ def shard(docs: DataFrame, **options) -> DataFrame:
     """
     keys = ["doc_id", "source", "size", "text_crc32"]
     plan = plan_shards(docs, **options).select(*[F.col(k).alias(f"plan_{k}") for k in keys], "shard", "slot")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(
-        *columns, (F.octet_length(text) + 1).cast("bigint").alias("plan_size"),
-        F.crc32(text.cast("binary")).alias("plan_text_crc32"),
-    )
-    rows = rows.dropDuplicates(["doc_id", "source", "plan_size", "plan_text_crc32"]).alias("d")
-    same = [F.col(f"d.{c}").eqNullSafe(plan[f"plan_{c}"]) for c in ("doc_id", "source")]
-    same += [F.col(f"d.plan_{c}") == plan[f"plan_{c}"] for c in ("size", "text_crc32")]
-    return plan.join(rows, same).select(*[F.col(f"d.`{c}`") for c in columns], plan["shard"], plan["slot"])
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    rows = packed(docs, "doc", without=("shard", "slot")).withColumns({
+        "doc_id": F.col("doc.doc_id"), "source": F.col("doc.source"),
+        "size": (F.octet_length(text) + 1).cast("bigint"), "text_crc32": F.crc32(text.cast("binary")),
+    })
+    same = [F.col(k).eqNullSafe(F.col(f"plan_{k}")) for k in keys]
+    return plan.join(rows.dropDuplicates(keys), same).select("doc.*", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, folder: str) -> None:

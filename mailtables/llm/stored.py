@@ -28,3 +28,8 @@ def lookup(rows: DataFrame, text: str | None = None) -> DataFrame:
     width = F.sum(F.octet_length(text)) if text else F.lit(0)
     count, wide = rows.agg(F.count("*"), width).first()
     return F.broadcast(rows) if count <= BROADCAST_ROWS and (wide or 0) + 32 * count <= BROADCAST_BYTES else rows
+
+
+def packed(rows: DataFrame, name: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of `rows` in one struct column, so that no name of theirs can clash with added ones."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in without]).alias(name))

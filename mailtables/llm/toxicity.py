@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailtables.llm.ranks import SHUFFLE_RANGE, shuffle_number
-from mailtables.llm.stored import lookup, saved
+from mailtables.llm.stored import lookup, packed, saved
 from mailtables.llm.words import pieces, text_bytes
 
 #: Labelled rows that word lists, trees and calibration are fitted on, at most about this many (chosen by a hash of
@@ -228,14 +228,15 @@ class Model:
         """`docs` with `score` (0 to 1) added, from the text alone; null texts count as empty ones."""
         if self.trees is None:
             return docs.withColumn("score", F.lit(float(self.prior)))
-        rows = docs.withColumn("_features", array_to_vector(feature_column(self.lexicon)(F.col("text"))))
+        rows = packed(docs, "doc")
+        rows = rows.withColumn("_features", array_to_vector(feature_column(self.lexicon)(F.col("doc.text"))))
         rows = self.trees.transform(rows).withColumn("_raw", vector_to_array("_probability")[1]).drop("_probability")
         if self.calibration is None:
-            return rows.select(*docs.columns, F.col("_raw").alias("score"))
+            return rows.select("doc.*", F.col("_raw").alias("score"))
         rows = self.calibration.transform(rows)
         # the calibrated rate has steps; a small part of the trees' own score orders the rows of a step
         score = F.col("_calibrated") * 0.98 + F.col("_raw") * 0.02
-        return rows.select(*docs.columns, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return rows.select("doc.*", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
