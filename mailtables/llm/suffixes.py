@@ -11,14 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailtables.llm.jaccard import _cuts, _runs
-from mailtables.llm.stored import lookup, saved
-from mailtables.llm.words import _power_table, list_values, lists, mixed, numbered, pieces, text_bytes
+from mailtables.llm.stored import saved
+from mailtables.llm.words import _power_table, lists, mixed, numbered, pieces, text_bytes
 
 LENGTH = 400
 #: Bytes of the anchor strings by which places of equal text find each other; at most LENGTH.
 GRAM = 160
-#: Places of one anchor string in one task; more are dealt into tiles, and what a tile leaves open is counted apart.
-_TILE = 2000
+#: An anchor string of more places is split by what stands before and behind it, so that it is not one task's work.
+_HOT = 2000
+#: Places matched together, at most. A group that may have more is salted, and what a part leaves open is counted apart.
+_TILE = 12_000
+#: Offsets of open windows that are counted by their common bytes first.
+_STEP = 16
 _SLICE = 1 << 19
 _BYTES = numbered(256, 3)
 _LOW = np.uint64((1 << 32) - 1)
@@ -167,9 +171,11 @@ class SuffixArray:
 
 
 def repeated_windows(
-    after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, group: np.ndarray, length: int
+    after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, group: np.ndarray, length: int,
+    low: np.ndarray | None = None, high: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the least and the greatest offset into a window of `length` bytes that another anchor repeats.
+    """For each anchor the least and the greatest offset into a window of `length` bytes that another anchor repeats,
+    of the offsets from `low` to `high` (alike in a group; all without them).
 
     `after` has the bytes from the anchor on, `before` those ahead of it, backwards; a window at offset o takes o
     bytes of the one and `length - o` of the other. Two anchors have the window in common when they share the class of
@@ -180,12 +186,15 @@ def repeated_windows(
     greatest = least.copy()
     hopeful = ahead.best() + back.best() >= length
     widest = before.shape[1]
+    low = np.zeros(len(group), np.int64) if low is None else low
+    high = np.full(len(group), widest) if high is None else high
     for offsets, found in ((range(widest, -1, -1), greatest), (range(widest + 1), least)):
         wanted = hopeful & ((greatest >= 0) | (found is greatest))
         for offset in offsets:
             if not (wanted & (found < 0)).any():
                 break
-            fits = np.flatnonzero((n_before >= offset) & (n_after >= length - offset) & hopeful)
+            fits = (n_before >= offset) & (n_after >= length - offset) & hopeful & (low <= offset) & (offset <= high)
+            fits = np.flatnonzero(fits)
             pair = (ahead.classes(length - offset)[fits] << np.int64(32)) | back.classes(offset)[fits]
             _, place, counts = np.unique(pair, return_inverse=True, return_counts=True)
             shared = fits[counts[place] > 1]
@@ -201,9 +210,12 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-_ANCHOR_DDL = "doc_id string, t1 bigint, t2 bigint, n bigint, places array<bigint>, numbers array<bigint>"
-_CONTEXT_DDL = "number bigint, tile bigint, tiles bigint, node bigint, place bigint, lead bigint, context binary"
-_FOUND_DDL = "node bigint, begins bigint, ends bigint, w1 bigint, w2 bigint"
+_ANCHOR_DDL = "doc_id string, t1 bigint, t2 bigint, n bigint, numbers array<bigint>, places array<array<bigint>>"
+_CONTEXT_DDL = (
+    "number bigint, tile bigint, low bigint, high bigint, salts bigint, node bigint, place bigint, lead bigint, "
+    "context binary"
+)
+_FOUND_DDL = "node bigint, begins bigint, ends bigint, w1 bigint, w2 bigint, offset bigint, windows array<bigint>"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -211,63 +223,111 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         for part in pieces(batch, 1, _SLICE):
             data, bounds = text_bytes(part.column(1))
             place, number = anchors(data, bounds, length, gram)
-            cuts = np.searchsorted(place, bounds)
-            own = place - np.repeat(bounds[:-1], np.diff(cuts))
+            row = np.searchsorted(bounds, place, "right") - 1
+            order = np.lexsort((place, number, row))
+            place, number, row = place[order] - bounds[row[order]], number[order], row[order]
+            fresh = np.ones(len(place), bool)  # the first place of each different gram of a text
+            fresh[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])
+            firsts = np.flatnonzero(fresh)
+            cuts = np.searchsorted(row[firsts], np.arange(part.num_rows + 1))
+            nested = pa.ListArray.from_arrays(
+                pa.array(cuts.astype(np.int32)), lists(place, np.append(firsts, len(place)))
+            )
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), lists(own, cuts),
-                lists(number.view(np.int64), cuts),
-            ], ["doc_id", "t1", "t2", "n", "places", "numbers"])
+                part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)),
+                lists(number[firsts].view(np.int64), cuts), nested,
+            ], ["doc_id", "t1", "t2", "n", "numbers", "places"])
+
+
+def _content_number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=7).digest(), "little")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows text, node, places, numbers, members: the bytes around each anchor."""
-    lead = length - gram
+    """Rows text, node, numbers, places, members: the bytes around each anchor.
+
+    Places of a text with the same bytes around them repeat each other, so they are settled here (no context, a lead
+    of -1 less their own) and one of them goes on. A hot anchor goes on as two rows, one for the windows that reach
+    far behind it and one for those that reach far ahead, each dealt out by the bytes such windows have in common.
+    """
+    lead_most = length - gram
+    half = lead_most // 2
+    names = [part.partition(" ")[0] for part in _CONTEXT_DDL.split(", ")]
+    kinds = [pa.int64()] * 8 + [pa.binary()]
     for batch in batches:
         for part in pieces(batch, 0, _SLICE):
             data, bounds = text_bytes(part.column(0))
-            texts = [data[bounds[i]:bounds[i + 1]].tobytes() for i in range(part.num_rows)]
-            (place, cuts), (number, _), (members, _) = (list_values(part.column(c)) for c in (2, 3, 4))
-            row = np.repeat(np.arange(part.num_rows), np.diff(cuts))
-            tiles = -(-members // _TILE)
-            tile = (mixed(place.astype(np.uint64) + mixed(np.asarray(part.column(1)).view(np.uint64))[row]) % tiles.astype(np.uint64)).astype(np.int64)
-            nodes = np.asarray(part.column(1))[row]
-            ahead = np.minimum(place, lead)
-            for at in range(0, len(place), 4096):
-                some = slice(at, at + 4096)
-                around = [
-                    texts[r][p - a:p + length] for r, p, a in zip(row[some].tolist(), place[some].tolist(), ahead[some].tolist())
-                ]
-                columns = [number[some], tile[some], tiles[some], nodes[some], place[some], ahead[some]]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c) for c in columns], pa.array(around, pa.binary())],
-                    ["number", "tile", "tiles", "node", "place", "lead", "context"],
-                )
+            columns = [part.column(c).to_pylist() for c in range(1, 5)]
+            rows = []
+            for at, (node, numbers, places, members) in enumerate(zip(*columns)):
+                text = data[bounds[at]:bounds[at + 1]].tobytes()
+                for number, own, total in zip(numbers, places, members):
+                    salts = -(-total // _TILE)
+                    seen: dict[tuple[int, bytes], list[int]] = {}
+                    for place in own:
+                        lead = min(place, lead_most)
+                        seen.setdefault((lead, text[place - lead:place + length]), []).append(place)
+                    for (lead, context), alike in seen.items():
+                        place = alike[0]
+                        if len(alike) > 1 and len(context) >= length:
+                            for settled in alike:
+                                tile = -1 - (settled + node) % 1024
+                                rows.append((number, tile, 0, 0, 1, node, settled, -1 - lead, b""))
+                        salt = _content_number(f"{node}:{place}".encode()) % salts
+                        if total <= _HOT:
+                            rows.append((number, 0, 0, lead_most, 1, node, place, lead, context))
+                            continue
+                        near, far = context[lead:lead + length - half], context[max(0, lead - half - 1):lead]
+                        tile = _content_number(near + b"near" + salt.to_bytes(8, "little"))
+                        rows.append((number, tile, 0, half, salts, node, place, lead, context))
+                        if lead > half:
+                            tile = _content_number(far + b"far" + salt.to_bytes(8, "little"))
+                            rows.append((number, tile, half + 1, lead_most, salts, node, place, lead, context))
+                if len(rows) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def _matched(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by number and tile: the repeated bytes around each anchor, and windows a tile leaves open."""
+    """Contexts sorted by number and tile: the repeated bytes around each anchor, and windows a part leaves open."""
     for table in _runs(batches, 2):
+        lead = table.column("lead").to_numpy()
+        if (settled := np.flatnonzero(lead < 0)).size:
+            node, place = (table.column(c).to_numpy()[settled] for c in ("node", "place"))
+            begins = place + 1 + lead[settled]
+            yield _found(node, begins, place + length)
         cuts = _cuts(table, 2)
         width = np.diff(cuts)
         group = np.repeat(np.arange(len(width)), width)
-        # single rows have no one to meet, unless their anchor has other tiles
-        tiles = table.column("tiles").to_numpy()
-        kept = np.flatnonzero((width[group] > 1) | (tiles > 1))
+        # single rows have no one to meet, unless their group has other parts
+        kept = np.flatnonzero((lead >= 0) & ((width[group] > 1) | (table.column("salts").to_numpy() > 1)))
         start = 0
-        while start < len(kept):  # whole groups, about 4000 rows at a time
+        while start < len(kept):  # whole groups, about 4000 rows at a time; a group of more than a tile in parts
             stop = min(start + 4000, len(kept))
-            while stop < len(kept) and group[kept[stop]] == group[kept[stop - 1]]:
+            while stop < min(len(kept), start + _TILE) and group[kept[stop]] == group[kept[stop - 1]]:
                 stop += 1
-            yield _match_block(table.take(pa.array(kept[start:stop])), group[kept[start:stop]], length, gram)
+            yield from _match_block(table.take(pa.array(kept[start:stop])), group[kept[start:stop]], width, length, gram)
             start = stop
 
 
-def _match_block(table: pa.Table, group: np.ndarray, length: int, gram: int) -> pa.RecordBatch:
+def _found(node, begins, ends, w1=None, w2=None, offset=None, windows=None) -> pa.RecordBatch:
+    none = np.zeros(len(node), np.int64)
+    columns = [node, begins, ends, *[none if c is None else c for c in (w1, w2, offset)]]
+    tail = windows if windows is not None else pa.nulls(len(node), pa.list_(pa.int64()))
+    names = ["node", "begins", "ends", "w1", "w2", "offset", "windows"]
+    return pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], tail], names)
+
+
+def _match_block(
+    table: pa.Table, group: np.ndarray, width: np.ndarray, length: int, gram: int
+) -> Iterator[pa.RecordBatch]:
     lead_most = length - gram
     column = table.column("context").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     data, bounds = text_bytes(column)
-    node, place, lead = (table.column(c).to_numpy() for c in ("node", "place", "lead"))
+    node, place, lead, low, high = (table.column(c).to_numpy() for c in ("node", "place", "lead", "low", "high"))
     n_after = np.diff(bounds) - lead
     middle = bounds[:-1] + lead
     step = np.arange(length)
@@ -276,24 +336,36 @@ def _match_block(table: pa.Table, group: np.ndarray, length: int, gram: int) ->
     step = np.arange(lead_most)
     at = np.maximum(middle[:, None] - 1 - step, 0)
     before = np.where(step < lead[:, None], data[at], 0).astype(np.uint8)
-    least, greatest = repeated_windows(after, n_after, before, lead, group, length)
+    least, greatest = repeated_windows(after, n_after, before, lead, group, length, low, high)
     found = np.flatnonzero(greatest >= 0)
-    none = np.zeros(len(found), np.int64)
-    columns = [[node[found]], [place[found] - greatest[found]], [place[found] - least[found] + length], [none], [none]]
-    split = np.flatnonzero(table.column("tiles").to_numpy() > 1)
-    if len(split):
-        ahead, back = _prefix_hashes(after[split]), _prefix_hashes(before[split])
-        for offset in range(lead_most + 1):
-            open_ = (lead[split] >= offset) & (n_after[split] >= length - offset)
-            open_ &= (greatest[split] < 0) | (offset < least[split]) | (offset > greatest[split])
-            own = split[open_]
-            begins = place[own] - offset
-            w1, w2 = ahead[length - offset][open_], back[offset][open_] + np.uint64(offset)
-            for values, more in zip(columns, (node[own], begins, begins + length, w1.view(np.int64), mixed(w2).view(np.int64))):
-                values.append(more)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(c)) for c in columns], ["node", "begins", "ends", "w1", "w2"]
-    )
+    yield _found(node[found], place[found] - greatest[found], place[found] - least[found] + length)
+    split = np.flatnonzero((table.column("salts").to_numpy() > 1) | (width[group] > _TILE))
+    if not len(split):
+        return
+    ahead, back = _prefix_hashes(after[split]), _prefix_hashes(before[split])
+    low, high, least, greatest = low[split], high[split], least[split], greatest[split]
+    for first in range(0, lead_most + 1, _STEP):
+        last = min(first + _STEP - 1, lead_most)
+        offsets = np.arange(first, last + 1)[:, None]
+        open_ = (lead[split] >= offsets) & (n_after[split] >= length - offsets) & (low <= offsets) & (offsets <= high)
+        open_ &= (greatest < 0) | (offsets < least) | (offsets > greatest)
+        some = np.flatnonzero(open_.any(axis=0))
+        if not len(some):
+            continue
+        # all the windows of these offsets hold the bytes from the first one's end back to the last one's begin
+        w1 = ahead[length - last][some]
+        w2 = mixed(back[first][some] + np.uint64(first + 1))
+        own = np.stack([
+            mixed(ahead[length - o][some] ^ mixed(back[o][some] + np.uint64(o + 1))) | np.uint64(1) for o in range(first, last + 1)
+        ], axis=1).view(np.int64)
+        own = np.where(open_[:, some].T, own, 0)
+        bounds_ = np.arange(len(some) + 1) * own.shape[1]
+        at = split[some]
+        begins = place[at] - first
+        yield _found(
+            node[at], begins, begins + length, w1.view(np.int64), w2.view(np.int64), np.full(len(at), first),
+            lists(own.ravel(), bounds_),
+        )
 
 
 def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
@@ -320,40 +392,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     2. Every window of `length` bytes has an anchor: one of its grams, picked by its content alone. Only anchors whose
        gram occurs again can be in a repeated window; those get the bytes around them.
     3. The contexts of each gram are sorted forwards and backwards as suffix arrays, which tell which windows repeat.
-    4. A gram of very many places is dealt into tiles. Windows that repeat within a tile are settled there; only the
-       others are counted across tiles, by 128 bits.
+    4. A gram of very many places is split by the bytes its windows have in common, and salted if that may not be
+       enough. Windows that repeat within a part are settled there; the others are counted across parts by 128 bits,
+       first by the bytes that neighbouring windows share, then one by one.
+
+    Texts, and lists as wide as texts, are never broadcast.
     """
     whole = _whole(docs)
     rows = whole.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text", *_text_keys(F.col("text")))
     found = saved(rows.mapInArrow(lambda b: _anchor_rows(b, length, gram), _ANCHOR_DDL), "anchors").filter(F.col("n") >= length)
     classes = found.groupBy("t1", "t2", "n").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"),
-        F.min_by(F.struct("places", "numbers"), "doc_id").alias("own"),
+        F.min_by(F.struct("numbers", "places"), "doc_id").alias("own"),
     )
     classes = saved(classes.select("*", "own.*").drop("own").withColumn("node", F.monotonically_increasing_id()), "text-classes")
-    places = classes.select("node", F.explode(F.arrays_zip("places", "numbers")).alias("at")).select(
-        "node", F.col("at.places").alias("place"), F.col("at.numbers").alias("number")
+    places = classes.select("node", F.explode(F.arrays_zip("numbers", "places")).alias("at")).select(
+        "node", F.col("at.numbers").alias("number"), F.col("at.places").alias("places")
     )
-    again = places.groupBy("number").agg(F.count("*").alias("members")).filter("members > 1")
-    kept = places.join(again, "number").groupBy("node").agg(F.collect_list(F.struct("place", "number", "members")).alias("at"))
+    again = places.groupBy("number").agg(F.sum(F.size("places")).alias("members")).filter("members > 1")
+    again = saved(again, "repeated-anchors")
+    kept = places.join(again, "number").groupBy("node").agg(F.collect_list(F.struct("number", "places", "members")).alias("at"))
     kept = kept.join(classes.select("node", "first_id", F.col("t1").alias("key1"), F.col("t2").alias("key2")), "node")
-    kept = saved(kept.select(
-        "node", "first_id", "key1", "key2", F.col("at.place").alias("places"), F.col("at.number").alias("numbers"),
+    kept = kept.select(
+        "node", "first_id", "key1", "key2", F.col("at.number").alias("numbers"), F.col("at.places").alias("places"),
         F.col("at.members").alias("members"),
-    ), "anchored")
-    width = kept.agg(F.sum(F.size("places") * 24 + F.octet_length("first_id"))).first()[0] or 0
-    # the lists are as wide as the texts are long, so they are broadcast by their counted bytes
-    kept = lookup(kept) if width <= 24 << 20 else kept
+    )
+    kept = saved(kept, "anchored").hint("merge")
     same = (F.col("doc_id") == F.col("first_id")) & (F.col("t1") == F.col("key1")) & (F.col("t2") == F.col("key2"))
-    around = rows.join(kept, same).select("text", "node", "places", "numbers", "members")
+    around = rows.join(kept, same).select("text", "node", "numbers", "places", "members")
     around = around.mapInArrow(lambda b: _contexts(b, length, gram), _CONTEXT_DDL)
     around = around.repartition("number", "tile").sortWithinPartitions("number", "tile")
     matched = saved(around.mapInArrow(lambda b: _matched(b, length, gram), _FOUND_DDL), "matched")
-    settled = matched.filter("w1 = 0 AND w2 = 0").select("node", "begins", "ends")
-    left = matched.filter("w1 <> 0 OR w2 <> 0")
-    # an anchor may meet itself in the neighbouring anchor's window, never twice at one place
-    twice = left.groupBy("w1", "w2").agg(F.count_distinct("node", "begins").alias("times")).filter("times > 1")
-    counted = left.join(twice, ["w1", "w2"], "left_semi").select("node", "begins", "ends")
+    settled = matched.filter("windows IS NULL").select("node", "begins", "ends")
+    counted = _across_parts(matched.filter("windows IS NOT NULL"))
     pairs = settled.unionByName(counted).groupBy("node").agg(
         F.flatten(F.collect_set(F.array("begins", "ends"))).alias("pairs")
     )
@@ -363,6 +434,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return saved(names.select("t1", "t2", all_of_it.alias("pairs")), "repeated-spans")
 
 
+def _across_parts(left: DataFrame) -> DataFrame:
+    """The open windows that also start at another place: node, begins, ends.
+
+    One place may come several times (two anchors in one window), so different places are counted.
+    """
+    times = F.count_distinct("node", "begins").alias("times")
+    shared = saved(left.groupBy("w1", "w2").agg(times).filter("times > 1").drop("times"), "shared-cores")
+    single = left.join(shared, ["w1", "w2"]).select("w1", "w2", "node", "begins", "ends", F.posexplode("windows").alias("at", "window"))
+    single = single.filter("window <> 0").select(
+        "w1", "window", "node", (F.col("begins") - F.col("at")).alias("begins"), (F.col("ends") - F.col("at")).alias("ends")
+    )
+    single = saved(single.distinct(), "open-windows")
+    twice = single.groupBy("w1", "window").agg(times).filter("times > 1").drop("times")
+    return single.join(twice, ["w1", "window"], "left_semi").select("node", "begins", "ends")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """Each document without the bytes that a repeated string of `length` bytes covers.
 
@@ -373,8 +460,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     text are not read.
     """
     spans = repeated_spans(docs, length, gram).select(F.col("t1").alias("key1"), F.col("t2").alias("key2"), "pairs")
-    width = spans.agg(F.sum(F.size("pairs") * 8)).first()[0] or 0
-    spans = lookup(spans) if width <= 24 << 20 else spans
+    spans = spans.hint("merge")
     whole = _whole(docs).withColumns({"t1": _text_keys(F.col("text"))[0], "t2": _text_keys(F.col("text"))[1]})
     joined = whole.join(spans, (F.col("t1") == F.col("key1")) & (F.col("t2") == F.col("key2")), "left")
     ddl = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
