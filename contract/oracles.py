@@ -14,6 +14,7 @@ def _strip(text: str) -> str:
 _LINES = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 _CONV_TIME = "TIMESTAMP '2024-01-01' + to_hours(conv_id::INTEGER) + to_minutes(turn::INTEGER)"
 
+# The entity patterns.
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
 _MONEY = r"\$\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b"
@@ -245,7 +246,7 @@ ORACLES: dict[str, str] = {
         SELECT page_id,
             regexp_replace(regexp_replace(regexp_replace(regexp_replace(
                 regexp_replace(trim(regexp_replace(html,
-                    '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<[^>]+>',
+                    '(?is)<!--.*?(?:-->|\z)|<script\b[^>]*(?:>|\z).*?(?:</script\s*>|\z)|<style\b[^>]*(?:>|\z).*?(?:</style\s*>|\z)|<template\b[^>]*(?:>|\z).*?(?:</template\s*>|\z)|<[a-z/!?][^>]*(?:>|\z)',
                     chr(1), 'g'), chr(1)), '\x01+', chr(10), 'g'),
                 '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g') AS text
         FROM pages

@@ -200,7 +200,7 @@ def xml_bodies(spark, sf_dir):
     )
     xml = xml_messages.xml_messages(xml_messages.flatten_xml(source))
     bodies = parts.bodies_from_parts(parts.part_texts(part_files), 200)
-    records = M.xml_records(xml, bodies, parts.attachment_lists(attached))
+    records = M.xml_records(xml, bodies, parts.attachment_lists(attached, 10))
     return records.select(
         "path", "subject", "body",
         F.array_join(F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["size_bytes"])), ";")
@@ -323,7 +323,7 @@ def excerpts(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     subject = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\t "), F.col("source"), F.lit(" \n")))
     body = F.concat(F.lit("\n\n "), F.col("text"), F.lit(" \n"))
-    return documents.select("doc_id", X.excerpt(subject, body).alias("excerpt"))
+    return documents.select("doc_id", X.excerpt(subject, body, 2000).alias("excerpt"))
 
 
 def html_to_text(spark, sf_dir):
@@ -385,7 +385,7 @@ def attachments_top10(spark, sf_dir):
         F.lit("mail/"), F.col("source"), F.lit(f"/{kinds.ATTACHMENT_DIR}/"), F.col("doc_id"), ending
     )
     source = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("n_chars").alias("size_bytes"))
-    listed = parts.attachment_lists(source)
+    listed = parts.attachment_lists(source, 10)
     return listed.select("dir", F.inline("attachments")).select("dir", "filename", "size_bytes")
 
 
@@ -416,7 +416,7 @@ def semantic_text(spark, sf_dir):
     """Documents embedded from their excerpts and searched with an embedded query text."""
     messages = document_messages(table(spark, sf_dir, "documents", heavy=True))
     encode = vectors.encode_column(lambda: vectors.hashing_encoder(DIMENSIONS))
-    embedded = messages.select("message_id", encode(X.excerpt(F.col("subject"), F.col("body"))).alias("embedding"))
+    embedded = messages.select("message_id", encode(X.excerpt(F.col("subject"), F.col("body"), 2000)).alias("embedding"))
     query = vectors.hashing_encoder(DIMENSIONS)(["thatin hehely ononst"])[0].tolist()
     hits = vectors.top_k(embedded, "message_id", query)
     return _numbered(hits, F.desc("score"), F.asc("message_id")).select(

@@ -12,8 +12,7 @@ from pyspark.sql.types import StringType
 
 from mailtables.functions.patterns import WHITESPACE
 
-# Fixed values of the excerpt and display rules.
-EXCERPT_CHARS = 2000
+# Fixed value of the display rules.
 SUBJECT_CHARS = 80
 
 
@@ -22,10 +21,10 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
-def excerpt(subject: Column, body: Column) -> Column:
-    """Trimmed subject, a blank line and the trimmed body, cut to the excerpt length."""
+def excerpt(subject: Column, body: Column, chars: int | None = None) -> Column:
+    """Trimmed subject, a blank line and the trimmed body; whole, or cut to `chars`."""
     text = F.concat(strip(F.coalesce(subject, F.lit(""))), F.lit("\n\n"), strip(F.coalesce(body, F.lit(""))))
-    return F.substring(text, 1, EXCERPT_CHARS)
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def decode_bytes(content: Column) -> Column:
@@ -34,8 +33,14 @@ def decode_bytes(content: Column) -> Column:
     return F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-# Comments, blocks whose text is not shown, and every other tag, in that order.
-MARKUP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>|<[^>]+>"
+# Comments, blocks whose text is not shown, and every other tag, in that order. What is not closed runs to the end, so
+# no start is looked at twice. `{end}` is the end of the text, which Java and Python write differently.
+_MARKUP = (
+    r"(?is)<!--.*?(?:-->|{end})|<(script|style|template)\b[^>]*+(?:>|{end}).*?(?:</\1\s*+>|{end})"
+    r"|<[a-z/!?][^>]*+(?:>|{end})"
+)
+MARKUP = _MARKUP.replace("{end}", r"\z")
+_PYTHON_MARKUP = re.compile(_MARKUP.replace("{end}", r"\Z"))
 _CUT = "\x01"
 
 
@@ -50,12 +55,13 @@ def html_to_text(text: Column) -> Column:
     Each piece of markup becomes a cut mark; marks at the ends go, every other run of marks is one newline.
     """
     cut = F.trim(F.regexp_replace(text, MARKUP, _CUT), F.lit(_CUT))
-    return unescape_entities(F.regexp_replace(cut, _CUT + "+", "\n"))
+    plain = F.regexp_replace(cut, _CUT + "+", "\n")
+    return F.coalesce(unescape_entities(F.when(F.contains(plain, F.lit("&")), plain)), plain)
 
 
 def html_text(text: str) -> str:
     """`html_to_text` for one string, for code that is already inside a Python stage."""
-    cut = re.sub(MARKUP, _CUT, text).strip(_CUT)
+    cut = _PYTHON_MARKUP.sub(_CUT, text).strip(_CUT)
     return html.unescape(re.sub(_CUT + "+", "\n", cut))
 
 

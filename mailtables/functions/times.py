@@ -6,13 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The zone names of mail dates. Any other name counts as UTC, as in the mail parser.
+ZONES = {
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800",
+    "PDT": "-0700",
+}
+
+
 def mail_date(text: Column) -> Column:
     """A mail Date header such as `Mon, 1 Jan 2024 10:00:00 +0000 (UTC)`.
 
     Week-day letters make Spark's parser throw even in its `try_` form, so they are removed first.
     """
     bare = F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*|\s*\(.*\)\s*$", "")
-    zoned = F.regexp_replace(bare, r"\s+(?:GMT|UTC?|Z)$", " +0000")
+    zoned = bare
+    for name, offset in ZONES.items():
+        zoned = F.regexp_replace(zoned, rf"\s+{name}$", f" {offset}")
+    zoned = F.regexp_replace(zoned, r"\s+(?!(?i:[ap]m)$)[A-Za-z]{1,5}$", " +0000")
     zoned = F.when(zoned.rlike(r"[+-]\d{4}$"), zoned).otherwise(F.concat(zoned, F.lit(" +0000")))
     return F.coalesce(
         F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")),

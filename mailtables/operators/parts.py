@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from mailtables.functions.text import decode_bytes, file_name, html_to_text, looks_like_html, parent_dir, strip
 from mailtables.sources.kinds import ATTACHMENT_DIR, BODY_PART
 
-# Bytes read of a part, characters of a rebuilt body, attachment names looked at per folder.
-PART_BYTES = 200_000
-BODY_CHARS = 10_000
-ATTACHMENT_NAMES = 10
-
 _SALTS = 64
 
 
@@ -33,38 +28,38 @@ def take_until(rows: DataFrame, group: str, order: str, amount: str, cap: int) -
     return cut.drop("_task")
 
 
-def part_texts(files: DataFrame) -> DataFrame:
-    """Part files (path, content) to (dir, name, text): decoded, and HTML turned to text."""
+def part_texts(files: DataFrame, part_bytes: int | None = None) -> DataFrame:
+    """Part files (path, content) to (dir, name, text): decoded, and HTML turned to text; whole, or the first bytes."""
+    content = F.col("content") if part_bytes is None else F.substring("content", 1, part_bytes)
     parts = files.where(F.col("path").rlike(BODY_PART)).select(
         parent_dir(F.col("path")).alias("dir"),
         file_name(F.col("path")).alias("name"),
-        decode_bytes(F.substring("content", 1, PART_BYTES)).alias("text"),
+        decode_bytes(content).alias("text"),
     )
     is_html = looks_like_html(F.col("text"))
     markup = html_to_text(F.when(is_html, F.col("text")))
     return parts.withColumn("text", F.coalesce(markup, F.col("text")))
 
 
-def bodies_from_parts(parts: DataFrame, cap: int = BODY_CHARS) -> DataFrame:
-    """(dir, body): the trimmed parts in name order, blank ones left out, joined by a blank line, cut to `cap`.
+def bodies_from_parts(parts: DataFrame, cap: int | None = None) -> DataFrame:
+    """(dir, body): the trimmed parts in name order, blank ones left out, joined by a blank line; whole, or cut to `cap`.
 
-    Parts are taken until their untrimmed lengths reach the cap. More than `cap` characters of one part can
-    never show, so only that much of it travels.
+    With a cap, parts are taken until their untrimmed lengths reach it. Only names and lengths are looked through for
+    that, and more than `cap` characters of one part can never show, so only that much of it travels.
     """
-    sized = parts.select(
-        "dir",
-        "name",
-        F.length("text").alias("chars"),
-        F.substring(strip(F.col("text")), 1, cap).alias("piece"),
-    )
-    taken = take_until(sized, "dir", "name", "chars", cap).where(F.col("piece") != "")
+    piece = strip(F.col("text")) if cap is None else F.substring(strip(F.col("text")), 1, cap)
+    pieces = parts.select("dir", "name", piece.alias("piece"))
+    if cap is not None:
+        sized = parts.select("dir", "name", F.length("text").alias("chars"))
+        pieces = pieces.join(take_until(sized, "dir", "name", "chars", cap).select("dir", "name"), ["dir", "name"], "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("name", "piece")))
     joined = F.array_join(F.transform(ordered, lambda part: part["piece"]), "\n\n")
-    return taken.groupBy("dir").agg(F.substring(joined, 1, cap).alias("body"))
+    body = joined if cap is None else F.substring(joined, 1, cap)
+    return pieces.where(F.col("piece") != "").groupBy("dir").agg(body.alias("body"))
 
 
-def attachment_lists(files: DataFrame, limit: int = ATTACHMENT_NAMES) -> DataFrame:
-    """(dir, attachments): the first names of each attachment folder, XML files then left out.
+def attachment_lists(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(dir, attachments): the names of each attachment folder, or its first ones, XML files then left out.
 
     The rank filter keeps only `limit` rows per folder and task before the shuffle.
     """
@@ -87,7 +82,9 @@ def attachment_lists(files: DataFrame, limit: int = ATTACHMENT_NAMES) -> DataFra
     return kept.groupBy("dir").agg(F.array_sort(F.collect_list(attachment)).alias("attachments"))
 
 
-def first_names(files: DataFrame, group: str, name: str, limit: int) -> DataFrame:
-    """The first `limit` rows of each group by name."""
+def first_names(files: DataFrame, group: str, name: str, limit: int | None) -> DataFrame:
+    """The first `limit` rows of each group by name; all of them without a limit."""
+    if limit is None:
+        return files
     rank = F.row_number().over(Window.partitionBy(group).orderBy(name))
     return files.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")

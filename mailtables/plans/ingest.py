@@ -1,108 +1,62 @@
-"""Ingest: a folder or zip archives of mail into the stored tables, one batch per run."""
+"""Ingest: a folder of mail, loose or in zip archives, into the stored tables, one batch per run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from mailtables.functions.text import excerpt, file_name
+from mailtables.functions.text import excerpt
 from mailtables.operators import dedupe, entities, parts, tagging
 from mailtables.operators.vectors import encode_column
 from mailtables.plans import messages as M
 from mailtables.sinks import tables
-from mailtables.sources import calendars, files, kinds, mime, report, xml_messages, zips
+from mailtables.sources import kinds, listing, mime, xml_messages
 
 
-class Source:
-    """The readable contents of a folder tree or of the zip archives in it, by kind.
+@dataclass(frozen=True)
+class Limits:
+    """How much of what lies beside an XML message is taken, and of a text for its embedding. By default all of it."""
 
-    The listing is used several times, so it is written to `listed` and read from there; no content is read for it.
-    """
+    part_bytes: int | None = None
+    body_chars: int | None = None
+    attachment_names: int | None = None
+    excerpt_chars: int | None = None
 
-    def __init__(self, spark: SparkSession, root: str, listed: str, zipped: bool = False):
-        self.spark, self.root, self.zipped = spark, root, zipped
-        found = zips.list_zip_entries(spark, root, "*") if zipped else files.list_files(spark, root)
-        found.write.mode("overwrite").parquet(listed)
-        self._listing = spark.read.parquet(listed)
-
-    def listing(self) -> DataFrame:
-        """(path, modified, size_bytes) of every file."""
-        readable = self._listing.where(F.col("error").isNull()) if self.zipped else self._listing
-        return readable.select("path", "modified", "size_bytes")
-
-    def _entries(self, pattern: str, kind: str | None = None) -> DataFrame:
-        return zips.read_zip_entries(self._listing.where(F.col("path").rlike(pattern)), kind)
-
-    def mail(self) -> DataFrame:
-        """Raw rows of all mail messages."""
-        if self.zipped:
-            sources = [self._entries(p, k) for k, p in
-                       (("eml", kinds.EML), ("mbox", kinds.MBOX), ("emlx", kinds.EMLX))]
-        else:
-            sources = [read(self.spark, self.root) for read in (files.read_eml, files.read_mbox, files.read_emlx)]
-        return sources[0].unionByName(sources[1]).unionByName(sources[2])
-
-    def events(self) -> DataFrame:
-        if self.zipped:
-            return calendars.events_in_content(self._entries(kinds.ICS))
-        return calendars.read_ics(self.spark, self.root)
-
-    def xml(self) -> DataFrame:
-        if not self.zipped:
-            return xml_messages.read_xml_messages(self.spark, self.root)
-        entries = self._entries(kinds.XML).where(F.lower(file_name(F.col("path"))) != kinds.XML_SKIPPED)
-        return xml_messages.xml_messages(xml_messages.flatten_xml(entries))
-
-    def part_files(self) -> DataFrame:
-        if self.zipped:
-            return self._entries(kinds.BODY_PART)
-        return files.read_files(self.spark, self.root, files.GLOBS["part"])
-
-
-def unread(rows: DataFrame, source: Source, done: DataFrame | None) -> DataFrame:
-    """Rows of files that no earlier batch has read.
-
-    Names are compared first. Either the new or the known names of this source may then be few enough to send
-    to the tasks that read the files; if neither is, rows are shuffled by file, which spreads evenly.
-    """
-    if done is None:
-        return rows
-    key = ["path", "modified"]
-    listed = source.listing().select(*key)
-    if done.isEmpty():
-        return rows
-    new = listed.join(done, key, "left_anti")
-    if dedupe.is_small(new):
-        return rows.join(F.broadcast(new), key, "left_semi")
-    known = listed.join(done, key, "left_semi")
-    return rows.join(dedupe.broadcast_if_small(known), key, "left_anti")
 
+def unread(files: DataFrame, done: DataFrame) -> DataFrame:
+    """The listed files that no earlier batch has read, by path and modification time."""
+    return files.join(done.select("path", "modified"), ["path", "modified"], "left_anti")
 
-def read_mail(source: Source, done: DataFrame | None = None) -> DataFrame:
-    """Parsed mail of a source, without the files that earlier batches have read."""
-    return mime.parse_mime(unread(source.mail(), source, done))
 
+def read_mail(contents: DataFrame) -> DataFrame:
+    """Parsed mail of everything listed."""
+    mail = listing.read_mbox(contents)
+    for kind in ("eml", "emlx"):
+        mail = mail.unionByName(listing.read_whole(contents.where(F.col("kind") == kind), kind))
+    return mime.parse_mime(mail)
 
-def read_xml(source: Source, staged: str, done: DataFrame | None = None) -> DataFrame:
+
+def read_xml(contents: DataFrame, around: DataFrame, staged: str, limits: Limits = Limits()) -> DataFrame:
     """XML message records with rebuilt bodies and attachments.
 
-    The records are written to `staged` first, as they are used twice: to see which folders need their part
-    files, and in the result.
+    `around` lists what may lie beside them. The flattened files are written first: they are used several times, to
+    see which folders need their part files too, and only those folders' parts are opened.
     """
-    unread(source.xml(), source, done).write.mode("overwrite").parquet(f"{staged}/xml_records")
-    xml = source.spark.read.parquet(f"{staged}/xml_records")
-    needed = dedupe.broadcast_if_small(xml.where(F.col("body").isNull()).select("dir").distinct())
-    part_rows = source.part_files().withColumn("dir", parts.parent_dir(F.col("path")))
-    bodies = parts.bodies_from_parts(parts.part_texts(part_rows.join(needed, "dir", "left_semi")))
-    return M.xml_records(xml, bodies, parts.attachment_lists(source.listing()))
-
-
-def has_mail(source: Source) -> bool:
-    kind = kinds.mail_kind(F.col("path"))
-    return not source.listing().where(kind.isin("eml", "mbox", "emlx")).isEmpty()
+    spark = contents.sparkSession
+    files = listing.read_whole(listing.xml_files(contents), "xml")
+    xml_messages.flatten_xml(files).write.mode("overwrite").parquet(f"{staged}/xml_flat")
+    xml = xml_messages.xml_messages(spark.read.parquet(f"{staged}/xml_flat"))
+    needed = xml.where(F.col("body").isNull()).select("dir").distinct()
+    own = around.withColumn("dir", parts.parent_dir(F.col("path"))).where(F.col("path").rlike(kinds.BODY_PART))
+    beside = listing.read_whole(own.join(needed, "dir", "left_semi"), "part")
+    bodies = parts.bodies_from_parts(
+        parts.part_texts(beside.where(F.col("error").isNull()), limits.part_bytes), limits.body_chars
+    )
+    return M.xml_records(xml, bodies, parts.attachment_lists(around, limits.attachment_names))
 
 
 def ingest(
@@ -111,33 +65,53 @@ def ingest(
     store: str,
     config: dict,
     batch: str,
-    zipped: bool | None = None,
-    xml: str = "auto",
+    xml: str = "always",
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
     duplicates: str = "replace",
+    limits: Limits = Limits(),
+    whole_bytes: int = listing.WHOLE_BYTES,
 ) -> None:
-    """Read what is new below `root` and add it to the store as one batch.
+    """Read what is new below `root`, loose files and zip archives alike, and add it to the store as one batch.
 
-    `zipped` says whether `root` holds zip archives; by default they are recognised if it holds nothing else.
-    `xml` is `auto` (only if there is no mail), `always` or `never`. `make_encoder` adds embeddings when the
-    config enables `semantic`. `duplicates`: see `store_batch`.
+    `xml` is `always`, `never` or `fallback` (only if there is no mail). `make_encoder` adds embeddings when the
+    config enables `semantic`. `duplicates`: see `store_batch`. A file that has to be read whole and has more than
+    `whole_bytes` bytes is not opened. Whatever cannot be read is a row of the `errors` table.
     """
     if batch in tables.committed(spark, store):
         return
-    if zipped is None:
-        zipped = report.only_zips(spark, root)
     staged = f"{store}/staged/batch={batch}"
-    source = Source(spark, root, f"{staged}/listing", zipped)
-    done = tables.read_table(spark, store, "inputs")
-    parsed = read_mail(source, done)
-    events = unread(source.events(), source, done)
-    if xml == "always" or (xml == "auto" and not has_mail(source)):
-        extra = read_xml(source, staged, done)
-    else:
-        extra = None
-    stage(parsed, extra, events, staged)
-    store_batch(spark, staged, store, config, batch, make_encoder, model, duplicates)
+    files = listing.list_root(spark, root)
+    files.write.mode("overwrite").parquet(f"{staged}/files")
+    files = spark.read.parquet(f"{staged}/files")
+    new = unread(files, tables.read_table(spark, store, "inputs"))
+    # parts and attachments of a new message may have been listed before it
+    stage_files(new, staged, xml, limits, whole_bytes, files)
+    store_batch(spark, staged, store, config, batch, make_encoder, model, duplicates, limits)
+
+
+def stage_files(
+    files: DataFrame, staged: str, xml: str = "always", limits: Limits = Limits(),
+    whole_bytes: int = listing.WHOLE_BYTES, around: DataFrame | None = None,
+) -> None:
+    """Read listed files (path, modified, size_bytes), and no others, into `staged`.
+
+    The list of files and zip entries is written first; every reader starts from it and opens only what it names.
+    """
+    spark = files.sparkSession
+    listing.list_contents(files, whole_bytes).write.mode("overwrite").parquet(f"{staged}/listing")
+    contents = spark.read.parquet(f"{staged}/listing")
+    readable = contents.where(F.col("error").isNull())
+    blocks = f"{staged}/calendars"
+    listing.read_events(readable).write.mode("overwrite").parquet(blocks)
+    events = listing.events_of(spark.read.parquet(blocks))
+    with_xml = xml == "always" or xml == "fallback" and readable.where(F.col("kind").isin("eml", "mbox", "emlx")).isEmpty()
+    beside = readable
+    if around is not None:
+        loose = around.join(readable.select("path"), "path", "left_anti")
+        beside = readable.unionByName(listing.list_contents(loose.where(~F.col("path").rlike(kinds.ARCHIVE)), whole_bytes))
+    extra = read_xml(readable, beside.where(F.col("error").isNull()), staged, limits) if with_xml else None
+    stage(read_mail(readable), extra, events, staged)
 
 
 def stage(parsed: DataFrame, xml: DataFrame | None, events: DataFrame | None, staged: str) -> None:
@@ -149,6 +123,25 @@ def stage(parsed: DataFrame, xml: DataFrame | None, events: DataFrame | None, st
         events.write.mode("overwrite").parquet(f"{staged}/events")
 
 
+def read_errors(spark: SparkSession, staged: str) -> DataFrame:
+    """What could not be read: path, block and ordinal within it, stage, reason."""
+    nowhere = (F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("ordinal"))
+
+    def failed(rows: DataFrame, stage_name: str, *place: Column | str) -> DataFrame:
+        return rows.where(F.col("error").isNotNull()).select(
+            "path", *place, F.lit(stage_name).alias("stage"), F.col("error").alias("reason")
+        )
+
+    found = failed(_staged(spark, staged, "parsed"), "mail", "block", "ordinal")
+    for part, stage_name, place in (
+        ("listing", "listing", nowhere), ("calendars", "calendar", ("block", "ordinal")), ("xml_flat", "xml", nowhere),
+    ):
+        rows = _staged(spark, staged, part)
+        if rows is not None:
+            found = found.unionByName(failed(rows, stage_name, *place))
+    return found
+
+
 def _staged(spark: SparkSession, staged: str, part: str) -> DataFrame | None:
     try:
         return spark.read.parquet(f"{staged}/{part}")
@@ -167,6 +160,7 @@ def store_batch(
     make_encoder: Callable | None = None,
     model: Callable[[Column], Column] | None = None,
     duplicates: str = "replace",
+    limits: Limits = Limits(),
 ) -> None:
     """Write the tables of one staged batch and commit it.
 
@@ -197,16 +191,27 @@ def store_batch(
     tables.write_batch(M.attachment_rows(complete), store, "attachments", batch)
     tables.write_batch(entities.entity_rows(complete), store, "entities", batch)
     tables.write_batch(tagging.tag_rows(complete), store, "account_tags", batch)
+    listed = _staged(spark, staged, "listing")
     events = _staged(spark, staged, "events")
     if events is not None:
-        tables.write_batch(events.drop("path", "modified"), store, "events", batch)
+        tables.write_batch(events.drop("modified"), store, "events", batch)
+        # a calendar that is read again takes the place of what it held before
+        calendars = events if listed is None else listed.where(F.col("kind") == "ics")
+        earlier = tables.read_table(spark, store, "inputs", keep_batch=True).where(F.col("batch") != batch)
+        again = earlier.select("path", F.col("batch").alias("old_batch")).join(calendars.select("path").distinct(), "path", "left_semi")
+        tables.write_batch(again, store, "replaced_calendars", batch)
     if make_encoder is not None and (config.get("semantic") or {}).get("enabled"):
-        texts = complete.select("message_id", excerpt(F.col("subject"), F.col("body")).alias("excerpt"))
+        texts = complete.select("message_id", excerpt(F.col("subject"), F.col("body"), limits.excerpt_chars).alias("excerpt"))
         encode = encode_column(make_encoder)
         tables.write_batch(texts.withColumn("embedding", encode("excerpt")), store, "embeddings", batch)
-    inputs = parsed.select("path", "modified").distinct()
-    for other in (xml, events):
-        if other is not None:
-            inputs = inputs.unionByName(other.select("path", "modified").distinct())
-    tables.write_batch(inputs.distinct(), store, "inputs", batch)
+    tables.write_batch(read_errors(spark, staged), store, "errors", batch)
+    if listed is not None:
+        inputs = listed.select("path", "modified")
+    else:
+        inputs = parsed.select("path", "modified").distinct()
+        for other in (xml, events):
+            if other is not None:
+                inputs = inputs.unionByName(other.select("path", "modified").distinct())
+        inputs = inputs.distinct()
+    tables.write_batch(inputs, store, "inputs", batch)
     tables.commit(spark, store, batch, complete.count())

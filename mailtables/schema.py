@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 # One row per message source: a file, one message of an mbox file, or one zip entry.
-RAW = "path string, kind string, block bigint, ordinal bigint, modified timestamp, content binary"
+# `error` says why it could not be read; it then has no content.
+RAW = "path string, kind string, block bigint, ordinal bigint, modified timestamp, content binary, error string"
 
 ATTACHMENT = "struct<filename:string,content_type:string,size_bytes:bigint>"
 ENTITY = "struct<label:string,text:string,start_char:int,end_char:int>"

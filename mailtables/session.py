@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -60,11 +61,14 @@ def _ship(spark: SparkSession, package: ModuleType) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
-    Only a session that names no such folder (a unit test) falls back to a local one.
+    A session in one process that names no such folder (a test) gets a local one. A cluster must name it, as its
+    machines do not share local folders.
     """
     global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="mailtables-")
         base = _local_scratch

@@ -2,6 +2,7 @@
 
     <store>/<table>/batch=<name>/...     rows of one batch
     <store>/inputs/batch=<name>/...      the files that batch has read
+    <store>/errors/batch=<name>/...      what in them it could not read
     <store>/replaced/batch=<name>/...    which rows of earlier batches it replaces
     <store>/manifest/batch=<name>/...    written last; a batch without it is not visible
 
@@ -23,8 +24,12 @@ from mailtables.schema import EMBEDDINGS, TABLES
 
 INPUTS = "path string, modified timestamp"
 REPLACED = "message_id bigint, old_batch string"
+REPLACED_CALENDARS = "path string, old_batch string"
+ERRORS = "path string, block bigint, ordinal bigint, stage string, reason string"
+# Stored events also know the calendar they came from.
 LAYOUTS = TABLES | {
-    "embeddings": EMBEDDINGS, "inputs": INPUTS, "replaced": REPLACED, "manifest": "batch_rows bigint"
+    "events": f"{TABLES['events']}, path string", "embeddings": EMBEDDINGS, "inputs": INPUTS, "errors": ERRORS,
+    "replaced": REPLACED, "replaced_calendars": REPLACED_CALENDARS, "manifest": "batch_rows bigint",
 }
 # Tables whose rows go when their message is replaced.
 _OF_MESSAGES = {"messages", "attachments", "entities", "account_tags", "embeddings"}
@@ -56,11 +61,14 @@ def read_table(
     """
     visible = committed(spark, store) if batches is None else batches
     rows = _read(spark, store, table).where(F.col("batch").isin(visible))
-    if table in _OF_MESSAGES:
-        replaced = _read(spark, store, "replaced").where(F.col("batch").isin(visible))
+    key, listed = ("path", "replaced_calendars") if table == "events" else ("message_id", "replaced")
+    if table == "events" or table in _OF_MESSAGES:
+        replaced = _read(spark, store, listed).where(F.col("batch").isin(visible))
         if replaced.inputFiles():
-            gone = replaced.select("message_id", F.col("old_batch").alias("batch"))
-            rows = rows.join(gone, ["message_id", "batch"], "left_anti").select(*rows.columns)
+            gone = replaced.select(key, F.col("old_batch").alias("batch"))
+            rows = rows.join(gone, [key, "batch"], "left_anti").select(*rows.columns)
+    if table == "events":
+        rows = rows.drop("path")
     return rows if keep_batch else rows.drop("batch")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailtables.schema import RAW
 
-# Hadoop globs are case-sensitive, so both cases are spelled out.
+# The extensions of each kind. Hadoop globs are case-sensitive, so both cases are spelled out.
 GLOBS = {
     "eml": "*.{[eE][mM][lL],[tT][xX][tT]}",
     "mbox": "*.[mM][bB][oO][xX]",
@@ -31,6 +31,7 @@ RAW_ARROW = pa.schema(
         ("ordinal", pa.int64()),
         ("modified", pa.timestamp("us", tz="UTC")),
         ("content", pa.binary()),
+        ("error", pa.string()),
     ]
 )
 
@@ -44,7 +45,10 @@ def locate(path: str) -> tuple[fs.FileSystem, str]:
         # Only scheme and host are parsed as a URI: Spark's paths are not percent-encoded.
         scheme, _, rest = uri.partition("://")
         host, _, name = rest.partition("/")
-        filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        try:
+            filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        except (pa.ArrowException, OSError) as error:
+            raise OSError(f"tasks cannot open {scheme}:// paths ({error}); see mailtables.sources.files.locate") from error
         return filesystem, f"{base.rstrip('/')}/{name}"
     return fs.LocalFileSystem(), uri
 
@@ -94,6 +98,7 @@ def as_raw(files: DataFrame, kind: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("ordinal"),
         "modified",
         "content",
+        F.lit(None).cast("string").alias("error"),
     )
 
 
@@ -129,6 +134,7 @@ def mbox_rows(rows: DataFrame) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("value").cast("binary").alias("content"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 

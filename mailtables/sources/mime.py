@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import email.policy
 import io
+import quopri
 import re
 from collections.abc import Iterator
 from datetime import timezone
-from email.header import decode_header, make_header
 from email.message import Message
 from email.parser import BytesParser
 from email.utils import collapse_rfc2231_value, getaddresses, parsedate_to_datetime
@@ -54,28 +55,21 @@ _PARSED_ARROW = pa.schema(
 
 def parse_mime(raw: DataFrame) -> DataFrame:
     """Parse raw rows. A message that cannot be read keeps its row, with the reason in `error`."""
+    if "error" not in raw.columns:
+        raw = raw.withColumn("error", F.lit(None).cast("string"))
     return raw.select(*columns(RAW)).mapInArrow(_parse_batches, PARSED)
 
 
-def render_message(sender, to, subject, date, message_id, body, **headers):
-    """A plain-text message as one text column; values must not contain line breaks in the headers."""
-    fields = [("From", sender), ("To", to), ("Subject", subject), ("Date", date), ("Message-ID", message_id)]
-    fields += [(name.replace("_", "-"), value) for name, value in headers.items()]
-    lines = [F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\n"))) for name, value in fields]
-    fixed = "MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
-    return F.concat(F.concat_ws("", *lines), F.lit(fixed), body)
-
-
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parser = BytesParser(policy=email.policy.compat32)
     names = _PARSED_ARROW.names
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            content = row.pop("content")
+            content, reason = row.pop("content"), row.pop("error")
             try:
                 if content is None:
-                    raise ValueError("no content")
+                    raise ValueError(reason or "no content")
                 row.update(_parse(parser, _payload(row["kind"], content)), error=None)
             except Exception as error:
                 row["error"] = f"{type(error).__name__}: {error}"
@@ -159,13 +153,23 @@ def _value(name: str, raw: str) -> str:
         return _clean(raw)
 
 
-def _decoded(text: str | None) -> str:
-    if not text or "=?" not in text:
-        return text or ""
+_ENCODED_WORD = re.compile(r"=\?([^?\s]+)\?([bq])\?([^?\s]*)\?=(?:\s+(?==\?[^?\s]+\?[bq]\?))?", re.IGNORECASE)
+
+
+def _encoded_word(match: re.Match) -> str:
+    """One encoded word as text; as it stands where its charset or its code is not known."""
+    charset, code, data = match[1].partition("*")[0], match[2].lower(), match[3]
     try:
-        return _clean(str(make_header(decode_header(text))))
-    except Exception:
-        return text
+        if code == "b":
+            return _clean(base64.b64decode(data + "=" * (-len(data) % 4)).decode(charset, "replace"))
+        return _clean(quopri.decodestring(data, header=True).decode(charset, "replace"))
+    except (LookupError, ValueError):
+        return match[0]
+
+
+def _decoded(text: str | None) -> str:
+    """Encoded words that the header parser left as they were, such as those within quotes."""
+    return _ENCODED_WORD.sub(_encoded_word, text or "")
 
 
 def _addresses(name: str, raw: str) -> list[str]:
@@ -202,15 +206,18 @@ def _text(part: Message) -> str:
 
 
 def _content(msg: Message) -> tuple[str, list[dict]]:
-    """The body (plain text, else the text of the HTML parts) and the attachments' names, types and sizes."""
+    """The body (plain text, else the text of the HTML parts) and the attachments' names, types and sizes.
+
+    Whatever part of a multipart message is no body text is an attachment, also one shown inline.
+    """
     plain, marked_up, attachments = [], [], []
     single = not msg.is_multipart()
     for part in msg.walk():
         kind = part.get_content_type()
-        attached = part.get_content_disposition() == "attachment"
+        attached = part.get_content_disposition() == "attachment" or part.get_filename() is not None and not single
         if single and part.get_content_maintype() == "text" or kind in _BODY_TYPES and not attached:
             (marked_up if kind == "text/html" else plain).append(_text(part))
-        elif attached:
+        elif attached or not part.is_multipart() and not single:
             attachments.append(_attachment(part))
     if plain:
         return "\n\n".join(plain), attachments

@@ -24,12 +24,6 @@ def source_report(spark: SparkSession, root: str) -> DataFrame:
     return listed.where(F.col("source_kind") != "unsupported").unionByName(told)
 
 
-def only_zips(spark: SparkSession, root: str) -> bool:
-    """Whether the input is one zip archive, or a folder of nothing else."""
-    kinds = source_report(spark, root).groupBy("source_kind").count().collect()
-    return [row.source_kind for row in kinds] == ["zip"]
-
-
 def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         heads = []

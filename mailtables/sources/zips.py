@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailtables.sources.cutting import cut_records
 from mailtables.sources.files import GLOBS, RAW_ARROW, list_files, mbox_payload, open_file
 from mailtables.schema import RAW
 
@@ -115,21 +116,6 @@ def _unpacked(file, row: dict) -> Iterator[bytes]:
         raise zipfile.BadZipFile("bad checksum")
 
 
-def _split_mbox(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Cut a stream before each line that starts with `From `; text before the first is dropped."""
-    rest = b"\n"
-    started = False
-    for piece in pieces:
-        rest += piece
-        *done, rest = rest.split(b"\nFrom ")
-        for text in done:
-            if started:
-                yield b"From " + text + b"\n"
-            started = True
-    if started:
-        yield b"From " + rest
-
-
 def _read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, file = None, None
     out, size = [], 0
@@ -139,11 +125,14 @@ def _read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if file is not None:
                     file.close()
                 name, file = row["archive"], open_file(row["archive"])
-            base = {"path": row["path"], "kind": row["kind"], "block": 0, "ordinal": 0,
-                    "modified": row["modified"], "content": None}
+            # two entries may share a name, so the offset is what tells their rows apart
+            base = {"path": row["path"], "kind": row["kind"], "block": row["header_offset"], "ordinal": 0,
+                    "modified": row["modified"], "content": None, "error": None}
+            ordinal = -1
             try:
                 if row["kind"] == "mbox":
-                    contents = (mbox_payload(m) for m in _split_mbox(_unpacked(file, row)))
+                    records = cut_records(_unpacked(file, row), b"\nFrom ")
+                    contents = (mbox_payload(record) for record in records if record.startswith(b"From "))
                 else:
                     contents = iter([b"".join(_unpacked(file, row))])
                 for ordinal, content in enumerate(contents):
@@ -152,9 +141,9 @@ def _read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     if size >= _BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(out, schema=RAW_ARROW)
                         out, size = [], 0
-            except Exception:
-                # The entry cannot be read: its row has no content, and the parser reports it.
-                out.append(base)
+            except Exception as error:
+                # What came before the damage stands; the row after it has the reason.
+                out.append(base | {"ordinal": ordinal + 1, "error": f"{type(error).__name__}: {error}"})
     if out:
         yield pa.RecordBatch.from_pylist(out, schema=RAW_ARROW)
     if file is not None:

@@ -67,7 +67,7 @@ def test_body_and_attachments_from_siblings(spark, write, tmp_path):
     records = xml_records(
         xml_messages.read_xml_messages(spark, root),
         parts.bodies_from_parts(parts.part_texts(listed)),
-        parts.attachment_lists(files.list_files(spark, root)),
+        parts.attachment_lists(files.list_files(spark, root), 10),
     )
     rows = {row.path.split("/")[-2]: row for row in records.collect()}
     assert rows["m1"].body == "first\n\ncafé & \ntea\n\ncafé"

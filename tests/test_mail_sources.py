@@ -56,7 +56,7 @@ def test_eml_folder(spark, write, tmp_path):
 
 
 def test_unreadable_content_is_reported(spark):
-    raw = spark.createDataFrame([("x", "eml", 0, 0, dt.datetime(2024, 1, 1), None)], files.RAW)
+    raw = spark.createDataFrame([("x", "eml", 0, 0, dt.datetime(2024, 1, 1), None, None)], files.RAW)
     parsed = mime.parse_mime(raw)
     assert mail_records(parsed).count() == 0
     assert parse_errors(parsed).first().error.startswith("ValueError")

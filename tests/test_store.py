@@ -85,16 +85,6 @@ def test_ingest_again_reads_only_new_input(spark, archive, write, tmp_path, dupl
     assert read(spark, store, "account_tags").count() == 2
 
 
-def test_unread_input_is_found_also_when_no_list_is_small(spark, archive, write, tmp_path, monkeypatch):
-    store, root = str(tmp_path / "store"), str(tmp_path / "in")
-    ingest.ingest(spark, root, store, CONFIG, "one")
-    write("in/new.eml", S.HTML_ONLY)
-    monkeypatch.setattr(ingest.dedupe, "is_small", lambda keys, max_rows=0: False)
-    ingest.ingest(spark, root, store, CONFIG, "two")
-    assert spark.read.parquet(f"{store}/staged/batch=two/parsed").count() == 1
-    assert read(spark, store, "messages").count() == 7 and read(spark, store, "events").count() == 3
-
-
 def test_an_uncommitted_batch_is_invisible_and_is_replaced(spark, archive, tmp_path, monkeypatch):
     store, root = str(tmp_path / "store"), str(tmp_path / "in")
     with monkeypatch.context() as patch:
@@ -108,7 +98,7 @@ def test_an_uncommitted_batch_is_invisible_and_is_replaced(spark, archive, tmp_p
 
 def test_zipped_export_gives_the_same_tables(spark, archive, tmp_path):
     os.mkdir(tmp_path / "zips")
-    with zipfile.ZipFile(tmp_path / "zips" / "export", "w", zipfile.ZIP_DEFLATED) as packed:
+    with zipfile.ZipFile(tmp_path / "zips" / "export.zip", "w", zipfile.ZIP_DEFLATED) as packed:
         for folder, _, names in os.walk(tmp_path / "in"):
             for name in names:
                 path = os.path.join(folder, name)
@@ -121,20 +111,111 @@ def test_zipped_export_gives_the_same_tables(spark, archive, tmp_path):
         assert a == b, table
 
 
-def test_xml_is_the_fallback_of_an_archive_without_mail(spark, write, tmp_path):
+def test_xml_beside_mail(spark, write, tmp_path):
     write("x/m/message.xml", "<r><subject>Acme contract</subject><from>a@acme.example</from></r>")
     write("x/m/p.html", "<html><p>Globex invoice on 2024-01-05</p></html>")
     write("x/m/com.microsoft.__Attachments/a.pdf", "12345")
     store = str(tmp_path / "store")
-    ingest.ingest(spark, str(tmp_path / "x"), store, CONFIG, "one")
+    ingest.ingest(spark, str(tmp_path / "x"), store, CONFIG, "one", xml="fallback")
     row = read(spark, store, "messages").first()
     assert (row.body, row.account_tag, row.partner_tags) == ("Globex invoice on 2024-01-05", "Acme", ["Globex"])
     assert row.has_attachments and read(spark, store, "attachments").first().size_bytes == 5
     assert read(spark, store, "entities").first().text == "2024-01-05"
-    with_mail = str(tmp_path / "other")
     write("x/mail.eml", S.PLAIN)
-    ingest.ingest(spark, str(tmp_path / "x"), with_mail, CONFIG, "one")
-    assert [r.subject for r in read(spark, with_mail, "messages").collect()] == ["Café plans"]
+    for xml, subjects in (("fallback", {"Café plans"}), ("never", {"Café plans"}), ("always", {"Café plans", "Acme contract"})):
+        other = str(tmp_path / xml)
+        ingest.ingest(spark, str(tmp_path / "x"), other, CONFIG, "one", xml=xml)
+        assert {r.subject for r in read(spark, other, "messages").collect()} == subjects
+
+
+def test_nothing_is_cut_by_default(spark, write, tmp_path):
+    write("in/m/message.xml", "<r><subject>large</subject></r>")
+    write("in/m/a.com_0001", "x" * 250_000)
+    write("in/m/b.html", "<html><p>" + "y" * 20_000 + "</p></html>")
+    for number in range(11):
+        write(f"in/m/com.microsoft.__Attachments/{number:02}.pdf", "1")
+    write("in/readme.txt", S.NO_ID)
+    with zipfile.ZipFile(tmp_path / "in" / "more.zip", "w", zipfile.ZIP_DEFLATED) as packed:
+        packed.writestr("deep/plain.eml", S.PLAIN)
+        packed.writestr("deep/n/other.xml", "<r><subject>zipped</subject><body>b</body></r>")
+    write("in/paper.pdf", b"%PDF")
+    store = str(tmp_path / "store")
+    ingest.ingest(spark, str(tmp_path / "in"), store, CONFIG, "one", make_encoder=encoder)
+    rows = {r.subject: r for r in read(spark, store, "messages").collect()}
+    assert set(rows) == {"large", "no id", "Café plans", "zipped"}
+    assert rows["large"].body == "x" * 250_000 + "\n\n" + "y" * 20_000
+    assert read(spark, store, "attachments").where(f"message_id = {rows['large'].message_id}").count() == 11
+    assert read(spark, store, "embeddings").where("length(excerpt) > 260000").count() == 1
+    cut = str(tmp_path / "cut")
+    limits = ingest.Limits(part_bytes=200_000, body_chars=10_000, attachment_names=10, excerpt_chars=2000)
+    ingest.ingest(spark, str(tmp_path / "in"), cut, CONFIG, "one", make_encoder=encoder, limits=limits)
+    large = read(spark, cut, "messages").where("subject = 'large'").first()
+    assert large.body == "x" * 10_000
+    assert read(spark, cut, "attachments").where(f"message_id = {large.message_id}").count() == 10
+    assert read(spark, cut, "embeddings").where("length(excerpt) > 2000").count() == 0
+    assert read(spark, store, "errors").count() == 0
+
+
+def test_what_cannot_be_read_is_listed(spark, write, tmp_path):
+    write("in/good.eml", S.PLAIN)
+    write("in/large.eml", S.HTML_ONLY + b"x" * 5000)
+    write("in/broken.zip", b"PK\x03\x04 nothing more")
+    write("in/bad.xml", "<root><from>")
+    write("in/blank.xml", "<root><from>a@b.example</from></root>")
+    write("in/none.ics", "BEGIN:VCALENDAR\nEND:VCALENDAR\n")
+    one = b"From a@x Mon Jan  1 00:00:00 2024\nSubject: %d\nMessage-ID: <%d@z>\n\nbody\n\n"
+    with zipfile.ZipFile(tmp_path / "in" / "box.zip", "w") as packed:
+        packed.writestr("box.mbox", b"".join(one % (i, i) for i in range(8)))
+    data = bytearray((tmp_path / "in" / "box.zip").read_bytes())
+    data[data.index(b"Subject: 7") + 9] ^= 1
+    (tmp_path / "in" / "box.zip").write_bytes(bytes(data))
+    store = str(tmp_path / "store")
+    ingest.ingest(spark, str(tmp_path / "in"), store, CONFIG, "one", whole_bytes=5000)
+    errors = {(r.path.split("/")[-1], r.stage): r.reason for r in read(spark, store, "errors").collect()}
+    assert set(errors) == {("large.eml", "listing"), ("broken.zip", "listing"), ("bad.xml", "xml"), ("box.mbox", "mail")}
+    assert errors["box.mbox", "mail"].startswith("ValueError: BadZipFile")
+    known = {r.path.split("/")[-1] for r in read(spark, store, "inputs").collect()}
+    assert known >= {"good.eml", "large.eml", "broken.zip", "bad.xml", "blank.xml", "none.ics", "box.zip"}
+    ingest.ingest(spark, str(tmp_path / "in"), store, CONFIG, "two")
+    assert read(spark, store, "errors").count() == 4 and spark.read.parquet(f"{store}/staged/batch=two/listing").count() == 0
+
+
+def test_known_files_are_not_opened_again(spark, write, tmp_path):
+    store, root = str(tmp_path / "store"), str(tmp_path / "in")
+    path = write("in/first.eml", S.PLAIN)
+    box = write("in/box.mbox", S.MBOX)
+    ingest.ingest(spark, root, store, CONFIG, "one")
+    write("in/new.eml", S.HTML_ONLY)
+    path.chmod(0)
+    box.chmod(0)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")
+    try:
+        ingest.ingest(spark, root, store, CONFIG, "two")
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert read(spark, store, "messages").count() == 5
+    assert [r.path.split("/")[-1] for r in spark.read.parquet(f"{store}/staged/batch=two/listing").collect()] == ["new.eml"]
+
+
+def test_one_row_per_id_and_event(spark, write, tmp_path):
+    store, root = str(tmp_path / "store"), str(tmp_path / "in")
+    os.mkdir(tmp_path / "in")
+    message = b"Message-ID: <7@x>\nSubject: s\n\n%s\n"
+    with zipfile.ZipFile(tmp_path / "in" / "twice.zip", "w") as packed:
+        with pytest.warns(UserWarning):
+            packed.writestr("same.eml", message % b"one")
+            packed.writestr("same.eml", message % b"two")
+    cal = write("in/cal.ics", S.CALENDAR)
+    ingest.ingest(spark, root, store, CONFIG, "one")
+    assert [r.body for r in read(spark, store, "messages").collect()] == ["two\n"]
+    before = sorted(map(repr, read(spark, store, "events").collect()))
+    os.utime(cal, (1_800_000_000, 1_800_000_000))
+    ingest.ingest(spark, root, store, CONFIG, "two")
+    assert sorted(map(repr, read(spark, store, "events").collect())) == before
+    cal.write_text("BEGIN:VCALENDAR\nEND:VCALENDAR\n")
+    os.utime(cal, (1_900_000_000, 1_900_000_000))
+    ingest.ingest(spark, root, store, CONFIG, "three")
+    assert read(spark, store, "events").count() == 0
 
 
 def test_csv_export(spark, archive, tmp_path):
@@ -172,10 +253,17 @@ def test_stream_reads_new_files_once(spark, write, tmp_path):
     incremental.run_mail(spark, root, store, checkpoint, CONFIG)
     after = read(spark, store, "messages")
     assert after.count() == 6 and after.where("body like 'Changed%'").count() == 0
-    assert sorted(tables.committed(spark, store)) == ["eml-0", "eml-1", "emlx-0", "mbox-0"]
-    assert spark.read.parquet(f"{store}/staged/batch=eml-1/parsed").count() == 2
+    assert tables.committed(spark, store) == ["mail-0", "mail-1"]
+    assert spark.read.parquet(f"{store}/staged/batch=mail-1/parsed").count() == 3
     incremental.run_mail(spark, root, store, checkpoint, CONFIG)
-    assert sorted(tables.committed(spark, store)) == ["eml-0", "eml-1", "emlx-0", "mbox-0"]
+    assert tables.committed(spark, store) == ["mail-0", "mail-1"]
+    write("in/day3/m/message.xml", "<r><subject>late</subject><body>b</body></r>")
+    write("in/day3/cal.ics", S.CALENDAR)
+    with zipfile.ZipFile(tmp_path / "in" / "day3" / "more.zip", "w") as packed:
+        packed.writestr("n.eml", S.NO_ZONE.replace(b"<naive@x>", b"<zipped@x>"))
+    incremental.run_mail(spark, root, store, checkpoint, CONFIG, make_encoder=encoder)
+    assert read(spark, store, "messages").count() == 8 and read(spark, store, "events").count() == 3
+    assert read(spark, store, "embeddings").count() == 2
 
 
 def test_source_report_and_sidecar(spark, archive, write, tmp_path):
@@ -187,6 +275,5 @@ def test_source_report_and_sidecar(spark, archive, write, tmp_path):
     kinds = {r.path.split("/")[-1]: r.source_kind for r in report.source_report(spark, str(tmp_path / "in")).collect()}
     assert kinds["renamed"] == "zip" and kinds["mail.pst"] == kinds["hidden"] == "pst" and kinds["export.olm"] == "olm"
     assert kinds["what.bin"] == "unsupported" and kinds["plain.eml"] == "eml" and kinds["50% box.mbox"] == "mbox"
-    assert not report.only_zips(spark, str(tmp_path / "in"))
     path = write("s/index.meta.jsonl", '{"message_id": 5, "excerpt": "a"}\n{broken\n{"message_id": 7, "excerpt": null}\n{}\n')
     assert [r.message_id for r in read_sidecar(spark, str(path)).collect()] == [5, 7]
