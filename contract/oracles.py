@@ -14,6 +14,13 @@ def _strip(text: str) -> str:
 _LINES = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 _CONV_TIME = "TIMESTAMP '2024-01-01' + to_hours(conv_id::INTEGER) + to_minutes(turn::INTEGER)"
 
+_EXTERNAL_ID = f"""
+    CASE WHEN role <> 'system' THEN '<' || conv_id || '.' || turn || '@example.com>'
+         ELSE sha1(role || '@example.com' || strftime({_CONV_TIME}, '%a, %d %b %Y %H:%M:%S +0000')
+                   || 'Conversation ' || conv_id) END
+"""
+_CONV_EXCERPT = f"'Conversation ' || conv_id || chr(10) || chr(10) || {_strip(_LINES)}"
+
 # The entity patterns.
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
@@ -90,8 +97,6 @@ def _embedding(texts: str) -> str:
     """
 
 
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 ORACLES: dict[str, str] = {
     "mime_roundtrip": f"""
@@ -261,9 +266,35 @@ ORACLES: dict[str, str] = {
         WHERE turn >= 0 GROUP BY conv_id
     """,
     "first_seen": "SELECT min(doc_id) AS doc_id, sha1(text) AS digest FROM documents GROUP BY sha1(text)",
-    "union_messages": """
-        SELECT 'd' || doc_id AS external_id, text AS body FROM documents
-        UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations
+    "union_messages": f"""
+        SELECT {_EXTERNAL_ID} AS external_id, {_LINES} AS body FROM conversations
+        UNION ALL SELECT sha1('xml/' || c_custkey || '/message.xml' || c_name), 'Segment ' || c_mktsegment
+        FROM customer WHERE c_acctbal >= 0
+    """,
+    "incremental_ingest": f"""
+        SELECT {_EXTERNAL_ID} AS external_id, CASE WHEN turn = 0 THEN 'one' ELSE 'two' END AS batch FROM conversations
+    """,
+    "ingest_errors": "SELECT c_custkey, 'xml' AS stage FROM customer WHERE c_acctbal < 0",
+    "event_batches": """
+        SELECT event_id, date_trunc('second', ts) AS starts_at, props AS location FROM events
+    """,
+    "emlx_attachments": """
+        SELECT doc_id, 'J\u00fcrgen <j@x.example>' AS sender_name, source || ' in ' || lang || ' \u00e9t\u00e9' AS subject,
+               text AS body, true AS has_attachments, 'd' || doc_id || '.pdf' AS filename,
+               'application/pdf' AS content_type, octet_length(encode(lang)) AS size_bytes
+        FROM documents
+    """,
+    "stream_days": f"""
+        SELECT {_EXTERNAL_ID} AS external_id, CASE WHEN turn = 0 THEN 'mail-0' ELSE 'mail-1' END AS batch,
+               {_CONV_EXCERPT} AS excerpt, 16 AS dims
+        FROM conversations
+    """,
+    "embeddings_store": f"""
+        SELECT {_EXTERNAL_ID} AS external_id, 'on' AS feature, {_CONV_EXCERPT} AS excerpt FROM conversations
+    """,
+    "model_entities": """
+        SELECT doc_id, 'HEAD' AS label, left(text, 5) AS text, 0 AS start_char, length(left(text, 5))::INT AS end_char
+        FROM documents WHERE text <> ''
     """,
     "body_parts": f"""
         WITH sums AS (
@@ -321,9 +352,13 @@ ORACLES: dict[str, str] = {
             + len(regexp_extract_all(body, '{_DATE}')) + len(regexp_extract_all(body, '{_MONEY}'))), 0)::BIGINT FROM mail
         UNION ALL SELECT 'account_tags', sum(1 + contains(t, 'que')::INT)::BIGINT FROM mail
     """,
-    "table_counts": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}" for name in _TABLES
-    ),
+    "table_counts": """
+        SELECT 'messages' AS table_name, count(*) AS row_count FROM documents
+        UNION ALL SELECT 'attachments', count(*) FROM pages
+        UNION ALL SELECT 'events', count(*) FROM events
+        UNION ALL SELECT 'entities', count(*) FROM labels
+        UNION ALL SELECT 'account_tags', count(*) FROM conversations
+    """,
     "mail_dossier": f"""
         WITH mail AS (
             SELECT *, {_CONV_TIME} AS made, 'Conversation ' || conv_id AS subject,

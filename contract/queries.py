@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contract.views import (
-    DOCUMENT_RULES, PAGE_RULES, bare, conversation_mail, document_messages, joined, page_messages, table, utc,
+    DOCUMENT_RULES, PAGE_RULES, bare, conversation_mail, document_messages, joined, pack, page_messages, table, utc,
 )
 from mailtables.functions import text as X
 from mailtables.functions.ids import external_id
@@ -118,10 +116,8 @@ def ics_events(spark, sf_dir):
 def zip_entries(spark, sf_dir):
     """Documents packed into zip archives by the tasks that hold them, then listed and read in place."""
     folder = scratch_dir(spark, "zips")
-    texts = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text", F.spark_partition_id().alias("part"))
-    texts.mapInArrow(lambda batches: _write_zip(batches, folder), "archive string").write.format("noop").mode(
-        "overwrite"
-    ).save()
+    texts = table(spark, sf_dir, "documents", heavy=True)
+    pack(texts.select(F.concat(F.lit("texts/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.col("text").alias("content")), folder)
     raw = zips.read_zip_entries(zips.list_zip_entries(spark, folder))
     return raw.select(
         F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
@@ -130,25 +126,8 @@ def zip_entries(spark, sf_dir):
     )
 
 
-def _write_zip(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """One archive per task, named after its partition, so that a repeated task writes the same file again."""
-    filesystem, base = files.locate(folder)
-    filesystem.create_dir(base, recursive=True)
-    archive = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if archive is None:
-                name = f"{base}/part-{row['part']}.zip"
-                stream = filesystem.open_output_stream(name)
-                archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-            archive.writestr(f"texts/{row['doc_id']}.txt", row["text"])
-    if archive is not None:
-        archive.close()
-        stream.close()
-        yield pa.RecordBatch.from_pydict({"archive": [name]})
-
-
-def xml_message_rows(spark, sf_dir):
+def customer_xml(spark, sf_dir):
+    """An XML message per customer; those with a negative balance are malformed."""
     number = F.col("c_custkey").cast("string")
     address = F.concat(F.lit("c"), number, F.lit("@example.com"))
     content = F.concat(
@@ -162,12 +141,15 @@ def xml_message_rows(spark, sf_dir):
         F.lit("<sent>2024-01-02T03:04:05+01:00</sent><Body>Segment "), F.col("c_mktsegment"), F.lit("</Body>"),
         F.when(F.col("c_acctbal") < 0, F.lit("</m:wrong>")).otherwise(F.lit("</m:email>")),
     )
-    source = table(spark, sf_dir, "customer", heavy=True).select(
+    return table(spark, sf_dir, "customer", heavy=True).select(
         F.concat(F.lit("xml/"), number, F.lit("/message.xml")).alias("path"),
         F.lit(0).cast("timestamp").alias("modified"),
         content.cast("binary").alias("content"),
     )
-    return xml_messages.xml_messages(xml_messages.flatten_xml(source)).select(
+
+
+def xml_message_rows(spark, sf_dir):
+    return xml_messages.xml_messages(xml_messages.flatten_xml(customer_xml(spark, sf_dir))).select(
         "path", "external_id", "subject", "body", "sender_email", joined("recipients_to").alias("recipients_to"),
         bare(F.col("sent_at")).alias("sent_at"),
     )
@@ -358,14 +340,10 @@ def first_seen(spark, sf_dir):
 
 
 def union_messages(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("d"), F.col("doc_id")).alias("external_id"), F.col("text").alias("body")
-    )
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id"), F.lit("."), F.col("turn")).alias("external_id"),
-        F.col("text").alias("body"),
-    )
-    return documents.unionByName(turns)
+    """Mail and XML messages of one batch as one set of records."""
+    parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations", heavy=True)))
+    xml = M.xml_records(xml_messages.xml_messages(xml_messages.flatten_xml(customer_xml(spark, sf_dir))))
+    return M.all_records(parsed, xml).select("external_id", "body")
 
 
 def body_parts(spark, sf_dir):
@@ -447,13 +425,14 @@ def store_batches(spark, sf_dir):
 
 
 def table_counts(spark, sf_dir):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-             "embeddings", "pages", "benchmark", "labels", "conversations"]
-    counts = None
-    for name in names:
-        one = table(spark, sf_dir, name).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    """Given tables stored as the five tables, in one committed batch, and counted."""
+    store = scratch_dir(spark, "counted")
+    sources = {"messages": "documents", "attachments": "pages", "events": "events", "entities": "labels", "account_tags": "conversations"}
+    for name, given in sources.items():
+        first = table(spark, sf_dir, given)
+        tables.write_batch(first.select(F.col(first.columns[0]).cast("bigint").alias("message_id")), store, name, "one")
+    tables.commit(spark, store, "one", 0)
+    return tables.table_counts(spark, store)
 
 
 def flagship(spark, sf_dir):
@@ -472,6 +451,8 @@ def flagship(spark, sf_dir):
     )
 
 
+from contract.runs import RUNS  # noqa: E402  (it uses the views above)
+
 QUERIES: dict[str, Query] = {
     "mime_roundtrip": mime_roundtrip,
     "message_record": message_record,
@@ -509,4 +490,5 @@ QUERIES: dict[str, Query] = {
     "store_batches": store_batches,
     "table_counts": table_counts,
     "mail_dossier": flagship,
+    **RUNS,
 }

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import contract
 from mailtables.operators.tagging import Account, Rules
+from mailtables.sources import files
 from mailtables.session import configure, spread
 
 
@@ -25,6 +30,51 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return spread(rows) if heavy else rows
 
 
+def pack(rows: DataFrame, folder: str) -> None:
+    """Write rows (path, content) into zip archives below `folder`, one per task, named after its partition, so that a
+    repeated task writes the same file again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = files.locate(folder)
+        filesystem.create_dir(base, recursive=True)
+        stream = archive = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if archive is None:
+                    stream = filesystem.open_output_stream(f"{base}/part-{row['part']}.zip")
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(row["path"], row["content"])
+        if archive is not None:
+            archive.close()
+            stream.close()
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    _run(rows.withColumn("part", F.spark_partition_id()).mapInArrow(write, "done boolean"))
+
+
+def write_file_per_task(rows: DataFrame, folder: str, ending: str) -> None:
+    """Write the text rows (content) of each task as one file, under the same name each time."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = files.locate(folder)
+        filesystem.create_dir(base, recursive=True)
+        stream = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if stream is None:
+                    stream = filesystem.open_output_stream(f"{base}/part-{row['part']}{ending}")
+                stream.write(row["content"].encode())
+        if stream is not None:
+            stream.close()
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    _run(rows.withColumn("part", F.spark_partition_id()).mapInArrow(write, "done boolean"))
+
+
+def _run(rows: DataFrame) -> None:
+    rows.write.format("noop").mode("overwrite").save()
+
+
 def utc(column: str) -> Column:
     """The tables' zone-less times as UTC instants."""
     return F.col(column).cast("timestamp")

@@ -168,10 +168,8 @@ def store_batch(
     stored one; `"skip"` keeps the first one, or the stored one.
     """
     parsed = _staged(spark, staged, "parsed")
-    records = M.mail_records(parsed)
     xml = _staged(spark, staged, "xml")
-    if xml is not None:
-        records = records.unionByName(xml)
+    records = M.all_records(parsed, xml)
     stored = tables.read_table(spark, store, "messages", keep_batch=True).where(F.col("batch") != batch)
     if duplicates == "skip":
         fresh = dedupe.keep_one(records, "external_id", M.READING_ORDER, "first", check_size=True)

@@ -63,6 +63,12 @@ def xml_records(xml: DataFrame, bodies: DataFrame | None = None, attachments: Da
     )
 
 
+def all_records(parsed: DataFrame, xml: DataFrame | None) -> DataFrame:
+    """The records of a batch: its mail and its XML messages."""
+    records = mail_records(parsed)
+    return records if xml is None else records.unionByName(xml)
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull()).select("path", "block", "ordinal", "error")
 
