@@ -45,21 +45,30 @@ def test_broadcast_only_below_the_bound(spark):
     assert hinted(dedupe.broadcast_if_small(df, 100)) and not hinted(dedupe.broadcast_if_small(df, 99))
 
 
-def test_bodies_from_parts_equal_a_plain_loop(spark):
-    rng = random.Random(2)
-    rows = [("hot" if i % 3 == 0 else f"d{i % 11}", f"{rng.random():.9f}", rng.choice(["", " ", "ab", " xyz \n", "é" * 40]))
-            for i in range(4000)]
-    cap = 300
-    want = {}
-    for group in {r[0] for r in rows}:
-        taken = []
-        for _, _, text in sorted(r for r in rows if r[0] == group):
-            taken.append(text)
-            if sum(map(len, taken)) >= cap:
-                break
-        want[group] = "\n\n".join(t.strip() for t in taken if t.strip())[:cap]
+def test_bodies_from_parts(spark):
+    rows = [
+        ("whole", "2", " second \n"), ("whole", "1", "first"), ("whole", "3", " \t"), ("whole", "4", ""), ("whole", "5", "é"),
+        ("cut", "a", "12345"), ("cut", "b", "67890"), ("cut", "c", "never read"),
+        ("blank counts", "a", " " * 12), ("blank counts", "b", "not reached"),
+        ("one long", "a", "x" * 50), ("empty", "a", " "),
+    ]
+    df = spark.createDataFrame(rows, "dir string, name string, text string").repartition(5)
+    got = {r.dir: r.body for r in parts.bodies_from_parts(df).collect()}
+    assert got == {
+        "whole": "first\n\nsecond\n\né", "cut": "12345\n\n67890\n\nnever read", "blank counts": "not reached",
+        "one long": "x" * 50,
+    }
+    got = {r.dir: r.body for r in parts.bodies_from_parts(df, 10).collect()}
+    assert got == {"whole": "first\n\nsec", "cut": "12345\n\n678", "one long": "x" * 10}
+
+
+def test_bodies_of_a_hot_folder(spark):
+    rows = [("hot", f"{number:05}", f"part {number}") for number in range(3000)] + [("other", "1", "alone")]
     df = spark.createDataFrame(rows, "dir string, name string, text string").repartition(9)
-    assert {r.dir: r.body for r in parts.bodies_from_parts(df, cap).collect()} == want
+    whole = {r.dir: r.body for r in parts.bodies_from_parts(df).collect()}
+    assert whole["hot"].split("\n\n") == [f"part {number}" for number in range(3000)]
+    cut = {r.dir: r.body for r in parts.bodies_from_parts(df, 300).collect()}
+    assert cut == {"hot": whole["hot"][:300], "other": "alone"}
 
 
 def test_first_names_uses_a_partial_limit(spark):

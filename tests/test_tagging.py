@@ -1,9 +1,6 @@
 import re
 
 import yaml
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
-
 import pytest
 import samples as S
 from mailtables.functions.patterns import to_java
@@ -13,7 +10,6 @@ SCHEMA = (
     "message_id bigint, sender_email string, recipients_to array<string>, recipients_cc array<string>, "
     "recipients_bcc array<string>, subject string, body string"
 )
-SLOW = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def tag(spark, rows, rules, **options):
@@ -21,58 +17,56 @@ def tag(spark, rows, rules, **options):
     return tag_accounts(df, rules, **options)
 
 
-def expected(rules, sender, to, cc, bcc, subject, body):
-    """The tagging rules as a plain loop."""
-    sender, subject, body = sender or "", subject or "", body or ""
-    if sender in rules.addresses:
-        return rules.addresses[sender], []
-    for pattern, account in rules.subjects:
-        if re.search(pattern, subject):
-            return account, []
-    text = f"{subject}\n{body}".lower()
-    addresses = [a.lower() for a in [sender, *(to or []), *(cc or []), *(bcc or [])]]
-    primary, partners = None, []
-    for account in rules.accounts:
-        score = any(w.lower() in text for w in account.aliases) * rules.alias_weight
-        score += any(w.lower() in text for w in account.keywords) * rules.keyword_weight
-        score += any("@" + d.lower() in a for d in account.domains for a in addresses) * rules.domain_weight
-        if primary is None and score >= rules.threshold:
-            primary = account.name
-        partners += [p for p in account.partners if p.lower() in text and p not in partners]
-    return primary, partners
-
-
 RULES = rules_from_config(yaml.safe_load(S.RULES))
-ADDRESS = st.sampled_from(["a@acme.example", "b@GLOBEX.example", "c@acme.example.evil", "boss@acme.example", "x@y.z"])
-WORDS = st.lists(
-    st.sampled_from(["Acme", "acme inc", "GLOBEX", "rfp", "contract", "invoice", "Hooli", "initech", "escalation", "x"]),
-    max_size=5,
-).map(" ".join)
-PEOPLE = st.one_of(st.none(), st.lists(ADDRESS, max_size=2))
-MESSAGE = st.tuples(st.one_of(st.none(), ADDRESS), PEOPLE, PEOPLE, PEOPLE, st.one_of(st.none(), WORDS), st.one_of(st.none(), WORDS))
-
-
-@SLOW
-@given(rows=st.lists(MESSAGE, min_size=1, max_size=60))
-def test_tags_equal_a_plain_loop(spark, rows):
-    for row in tag(spark, rows, RULES).collect():
-        account, partners = expected(RULES, *rows[row.message_id])
-        assert (row.account_tag, row.partner_tags) == (account, partners)
+
+# sender, to, cc, bcc, subject, body; then the account and the partners worked out by hand (domain 2, keyword 1, alias 1,
+# two points are enough).
+CASES = [
+    # one word of one kind is one point
+    ((None, None, None, None, "acme", None), None, []),
+    ((None, None, None, None, None, "an RFP"), None, []),
+    # alias and keyword, also in different fields and cases; several aliases count once
+    ((None, None, None, None, "ACME", "about the rfp"), "Acme", []),
+    ((None, None, None, None, "acme and Acme Inc", ""), None, []),
+    # a domain is enough, from any address; it matches as a substring, in any case
+    (("b@GLOBEX.example", None, None, None, "x", "y"), "Globex", []),
+    (("x@y.z", ["a@acme.example"], [], None, None, None), "Acme", []),
+    (("x@y.z", None, ["q@y.z", "a@acme.example"], None, None, None), "Acme", []),
+    (("x@y.z", None, None, ["c@acme.example.evil"], None, None), "Acme", []),
+    # of two accounts the first one named in the rules wins
+    (("b@globex.example", ["a@acme.example"], None, None, None, None), "Acme", []),
+    # partners follow from the text alone, in the rules' order, each once, with or without an account
+    (("x@y.z", None, None, None, "Initech", "with GLOBEX and hooli"), None, ["Globex", "Initech", "Hooli"]),
+    (("a@acme.example", None, None, None, "globex globex", None), "Acme", ["Globex"]),
+    ((None, None, None, None, "globex", "invoice"), "Globex", ["Globex"]),
+    # overrides come first, and tag no partners: the exact sender, then the first subject pattern
+    (("boss@acme.example", None, None, None, "Ticket 4 urgent", "globex"), "Board", []),
+    (("Boss@acme.example", None, None, None, "x", None), "Acme", []),
+    ((None, None, None, None, "Ticket 12 URGENT: globex", None), "Helpdesk", []),
+    ((None, None, None, None, "Re: Ticket 12 urgent", "invoice"), "Second", []),
+    ((None, None, None, None, "ticket", "Ticket"), None, []),
+    ((None, None, None, None, None, None), None, []),
+]
+
+
+def test_tags_of_hand_worked_messages(spark):
+    got = {row.message_id: row for row in tag(spark, [case for case, _, _ in CASES], RULES).collect()}
+    for number, (case, account, partners) in enumerate(CASES):
+        row = got[number]
+        assert (row.account_tag, row.partner_tags) == (account, partners), case
         want = [(account, "account")] * (account is not None) + [(p, "partner") for p in partners]
         assert [(t.tag, t.kind) for t in row.tags] == want
 
 
-def test_shipped_example(spark):
-    """An alias, a keyword and a recipient's domain: four points; the partner of another rule is tagged once."""
+def test_partner_of_another_account_is_tagged_once(spark):
     rules = Rules(accounts=(
-        Account("Acme Corp", ("acme", "acme corp"), ("acme.com",), ("Contoso",), ("RFP",)),
-        Account("Contoso Ltd", ("contoso",), ("contoso.com",), ("Acme Corp",), ("SOW",)),
-        Account("Soylent", ("soylent",), ("soylent.com",), ("Acme Corp",), ("supply",)),
+        Account("Heron", ("heron",), ("heron.example",), (), ("survey",)),
+        Account("Plover", ("plover",), (), ("Heron",), ("nest",)),
+        Account("Dunlin", ("dunlin",), (), ("Heron",), ("mud",)),
     ))
-    row = ("alice@example.com", ["bob@acme.com"], [], [], "Project update", "Here is the RFP draft for Acme Corp.")
+    row = ("k@x.example", None, ["w@heron.example"], None, "Field notes", "the Heron survey is done")
     tagged = tag(spark, [row], rules)
-    assert tagged.first().account_tag == "Acme Corp" and tagged.first().partner_tags == ["Acme Corp"]
-    assert [(r.tag, r.kind) for r in tag_rows(tagged).collect()] == [("Acme Corp", "account"), ("Acme Corp", "partner")]
+    assert [(r.tag, r.kind) for r in tag_rows(tagged).collect()] == [("Heron", "account"), ("Heron", "partner")]
 
 
 def test_word_match(spark):

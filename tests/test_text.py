@@ -148,3 +148,38 @@ def test_dates(spark):
     for function, cases in ((times.mail_date, mail), (times.any_date, mail | other), (times.calendar_date, calendar)):
         rows = column(spark, list(cases)).select("body", times.iso_text(function(F.col("body"))).alias("t")).collect()
         assert {row.body: row.t for row in rows} == cases
+
+
+def test_markup_is_linear_and_unclosed_markup_runs_to_the_end(spark):
+    import time
+
+    cases = ["a <b>c", "a < b > c", "x<!-- y", "x<script>y", "x<script>y</script>z", "x<p", "1 <2", "t<style>s</style >u"]
+    want = ["a \nc", "a < b > c", "x", "x", "x\nz", "x", "1 <2", "t\nu"]
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = [r.x for r in frame.select("i", X.html_to_text(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == want == [X.html_text(case) for case in cases]
+    for piece in ("<!--", "<", "<script>", "<a "):
+        text = piece * (5_000_000 // len(piece))
+        start = time.perf_counter()
+        X.html_text(text)
+        assert time.perf_counter() - start < 2
+    long = spark.range(1).select(F.repeat(F.lit("<!--"), 1_250_000).alias("t"))
+    start = time.perf_counter()
+    long.select(F.length(X.html_to_text(F.col("t")))).collect()
+    assert time.perf_counter() - start < 4
+
+
+def test_records_are_cut_in_linear_time():
+    import time
+
+    from mailtables.sources.cutting import cut_records
+
+    for size in (1, 3, 7, 100):
+        data = b"before\nFrom a\nFrom b\n\nFrom c"
+        cut = [data[i:i + size] for i in range(0, len(data), size)]
+        assert list(cut_records(iter(cut), b"\nFrom ")) == [b"before\n", b"From a\n", b"From b\n\n", b"From c"]
+        assert list(cut_records(iter(cut), b"\nFrom ", 7, first=False)) == [b"From a\n"]
+        assert list(cut_records(iter(cut), b"\nFrom ", 6, first=False)) == []
+    start = time.perf_counter()
+    total = sum(len(r) for r in cut_records((b"x" * (1 << 20) for _ in range(256)), b"\nFrom "))
+    assert total == 256 << 20 and time.perf_counter() - start < 4
