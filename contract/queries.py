@@ -406,7 +406,7 @@ def semantic_text(spark, sf_dir):
 
 
 def csv_roundtrip(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents", heavy=True)
     path = scratch_dir(spark, "csv")
     csv_export.write_csv(documents, path, null_value="\\N")
     return csv_export.read_csv(spark, path, documents.schema, null_value="\\N")

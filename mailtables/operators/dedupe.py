@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# A key list of at most this many rows (tens of MB) is sent to every executor; a longer one is shuffled.
-BROADCAST_ROWS = 500_000
+from mailtables.session import scratch_dir
 
+# A written key list within both bounds is sent to every executor; a longer or wider one is shuffled.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
-def is_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a key list has at most `max_rows` rows; counting stops just above that."""
-    return keys.limit(max_rows + 1).count() <= max_rows
 
+def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A key list, written once and read back, marked for broadcast if its counted rows and bytes prove it small.
 
-def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a key list for broadcast if a count proves it small."""
-    return F.broadcast(keys) if is_small(keys, max_rows) else keys
+    What made the list runs once, for the check and for the join together.
+    """
+    spark = keys.sparkSession
+    folder = scratch_dir(spark, "keys")
+    keys.write.parquet(folder)
+    keys = spark.read.schema(keys.schema).parquet(folder)
+    texts = [F.sum(F.octet_length(f.name)) for f in keys.schema.fields if isinstance(f.dataType, StringType)]
+    rows, *widths = keys.agg(F.count("*"), *texts).first()
+    size = sum(width or 0 for width in widths) + 16 * len(keys.columns) * rows
+    return F.broadcast(keys) if rows <= max_rows and size <= max_bytes else keys
 
 
 def keep_one(rows: DataFrame, key: str, order: list[str], keep: str = "first", check_size: bool = False) -> DataFrame:

@@ -28,6 +28,10 @@ class Account:
     keywords: tuple[str, ...] = ()
 
 
+#: Address overrides written into the plan as literals; a longer list is joined.
+LITERAL_ADDRESSES = 100
+
+
 @dataclass(frozen=True)
 class Rules:
     """Account rules in config order, and the overrides that win over them."""
@@ -87,6 +91,8 @@ def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring") ->
     staged = messages.withColumn(
         "_text", F.lower(F.concat(F.coalesce("subject", blank), F.lit("\n"), F.coalesce("body", blank)))
     ).withColumn("_addresses", F.lower(F.concat_ws("\n", F.col("sender_email"), *recipients)))
+    if len(rules.addresses) > LITERAL_ADDRESSES:
+        staged = _listed(staged, rules.addresses)
     found = staged.withColumn("_override", _override(rules)).withColumn(
         "_primary", _primary(rules, match)
     ).withColumn("_partners", _partners(rules, match))
@@ -97,7 +103,16 @@ def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring") ->
         F.array().cast(f"array<{TAG}>")
     )
     tags = F.concat(own, F.transform("partner_tags", lambda partner: _tag(partner, "partner")))
-    return tagged.withColumn("tags", tags).drop("_text", "_addresses", "_override", "_primary", "_partners")
+    return tagged.withColumn("tags", tags).drop("_text", "_addresses", "_override", "_primary", "_partners", "_listed")
+
+
+def _listed(messages: DataFrame, addresses: dict[str, str]) -> DataFrame:
+    """Add `_listed`: the account of a listed sender, by a join. The list is broadcast only while it is short."""
+    rows = messages.sparkSession.createDataFrame(list(addresses.items()), "_listed_sender string, _listed string")
+    if sum(len(key) + len(value) for key, value in addresses.items()) + 32 * len(addresses) <= 32 << 20:
+        rows = F.broadcast(rows)
+    sender = F.coalesce(messages["sender_email"], F.lit(""))
+    return messages.join(rows, sender == rows["_listed_sender"], "left").drop("_listed_sender")
 
 
 def tag_rows(messages: DataFrame) -> DataFrame:
@@ -112,7 +127,9 @@ def _tag(tag: Column, kind: str) -> Column:
 def _override(rules: Rules) -> Column:
     nothing = F.lit(None).cast("string")
     choices = [nothing]
-    if rules.addresses:
+    if len(rules.addresses) > LITERAL_ADDRESSES:
+        choices.append(F.col("_listed"))
+    elif rules.addresses:
         pairs = [F.lit(value) for pair in rules.addresses.items() for value in pair]
         choices.append(F.try_element_at(F.create_map(*pairs), F.coalesce("sender_email", F.lit(""))))
     subject = F.coalesce("subject", F.lit(""))

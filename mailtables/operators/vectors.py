@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -64,17 +66,33 @@ def encode_column(make_encoder: Callable[[], Callable[[list[str]], np.ndarray]])
     return encode
 
 
-def inner_product(vector: Column, query: list[float]) -> Column:
-    """Inner product with a fixed query vector, summed in double precision."""
-    other = F.array(*[F.lit(float(x)) for x in query])
-    products = F.zip_with(vector, other, lambda x, y: x.cast("double") * y)
-    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
+def top_k(vectors: DataFrame, key: str, query: list[float], k: int | None = TOP_K, vector: str = "embedding") -> DataFrame:
+    """The `k` rows with the largest inner product, as (key, score); all rows, sorted, if `k` is None.
 
-
-def top_k(vectors: DataFrame, key: str, query: list[float], k: int = TOP_K, vector: str = "embedding") -> DataFrame:
-    """The `k` rows with the largest inner product, as (key, score). Each task keeps only its own best `k`."""
-    scored = vectors.select(key, inner_product(F.col(vector), query).alias("score"))
-    best = scored.orderBy(F.desc_nulls_last("score"), F.asc(key)).limit(k)
-    # Rows without a vector go after the limit: a filter before it would be pushed into the scan of the vectors
-    # and work every score out twice.
-    return best.where(F.col("score").isNotNull())
+    Scores are one matrix product per Arrow batch, in double precision, and a batch hands on its own best `k`. Vectors
+    that are null, hold nulls or have another length than the query have no score and drop out.
+    """
+    other = np.asarray(query, dtype="float64")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            whole = pc.and_kleene(pc.is_valid(column), pc.equal(pc.list_value_length(column), len(other)))
+            batch = batch.filter(whole)
+            flat = batch.column(1).flatten()
+            matrix = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, len(other))
+            if flat.null_count:
+                full = ~np.asarray(flat.is_null()).reshape(matrix.shape).any(axis=1)
+                batch, matrix = batch.filter(pa.array(full)), matrix[full]
+            score = matrix @ other
+            keys = batch.column(0)
+            if k is not None and len(score) > k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+                kept = np.flatnonzero(~(score < least))
+                keys, score = keys.take(pa.array(kept)), score[kept]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(score)], [key, "score"])
+
+    kind = dict(vectors.dtypes)[key]
+    rows = vectors.select(key, vector).mapInArrow(scored, f"`{key}` {kind}, score double")
+    best = rows.orderBy(F.desc("score"), F.asc(key))
+    return best if k is None else best.limit(k)

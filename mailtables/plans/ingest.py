@@ -78,7 +78,7 @@ def ingest(
     config enables `semantic`. `duplicates`: see `store_batch`. A file that has to be read whole and has more than
     `whole_bytes` bytes is not opened. Whatever cannot be read is a row of the `errors` table.
     """
-    if batch in tables.committed(spark, store):
+    if batch in tables.written(spark, store):
         return
     staged = f"{store}/staged/batch={batch}"
     files = listing.list_root(spark, root)

@@ -10,6 +10,7 @@ from mailtables.functions.times import iso_text
 from mailtables.schema import TABLES
 from mailtables.sinks.tables import read_table
 
+FILE_ROWS = 200_000
 _OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
@@ -31,8 +32,11 @@ def flat_columns(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, null_value: str = "") -> None:
-    """One folder of CSV files with a header, also when there are no rows."""
-    options = _OPTIONS | ({"nullValue": null_value} if null_value else {})
+    """One folder of CSV files with a header, also when there are no rows.
+
+    A file with line breaks within values is read back by one task, so files are bounded in rows.
+    """
+    options = _OPTIONS | {"maxRecordsPerFile": FILE_ROWS} | ({"nullValue": null_value} if null_value else {})
     flat_columns(rows).write.mode("overwrite").options(**options).csv(path)
 
 

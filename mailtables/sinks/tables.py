@@ -29,7 +29,8 @@ ERRORS = "path string, block bigint, ordinal bigint, stage string, reason string
 # Stored events also know the calendar they came from.
 LAYOUTS = TABLES | {
     "events": f"{TABLES['events']}, path string", "embeddings": EMBEDDINGS, "inputs": INPUTS, "errors": ERRORS,
-    "replaced": REPLACED, "replaced_calendars": REPLACED_CALENDARS, "manifest": "batch_rows bigint",
+    "replaced": REPLACED, "replaced_calendars": REPLACED_CALENDARS,
+    "merged": "old_batch string", "manifest": "batch_rows bigint",
 }
 # Tables whose rows go when their message is replaced.
 _OF_MESSAGES = {"messages", "attachments", "entities", "account_tags", "embeddings"}
@@ -45,17 +46,30 @@ def _read(spark: SparkSession, store: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def committed(spark: SparkSession, store: str) -> list[str]:
-    """Names of the committed batches, from the names of the manifest's files; no job is run."""
+def written(spark: SparkSession, store: str) -> list[str]:
+    """Names of all batches ever committed, from the names of the manifest's files; no job is run."""
     files = _read(spark, store, "manifest").inputFiles()
     return sorted({unquote(match[1]) for file in files if (match := re.search(r"/batch=([^/]+)/", file))})
 
 
+def committed(spark: SparkSession, store: str) -> list[str]:
+    """Names of the batches that make up the store: the committed ones, without those merged into a later one."""
+    names = written(spark, store)
+    merged = _read(spark, store, "merged").where(F.col("batch").isin(names))
+    if not merged.inputFiles():
+        return names
+    gone = {row["old_batch"] for row in merged.select("old_batch").collect()}  # one row per batch
+    return [name for name in names if name not in gone]
+
+
 def read_table(
-    spark: SparkSession, store: str, table: str, keep_batch: bool = False, batches: list[str] | None = None
+    spark: SparkSession, store: str, table: str, keep_batch: bool = False, batches: list[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """A stored table: committed batches only, without the rows that later batches have replaced.
 
+    `whole` keeps the columns that only the store itself uses.
+
     The batch filter prunes folders. The list of replaced rows names them by (message_id, batch), a key that
     spreads evenly; Spark broadcasts it while its files are small.
     """
@@ -67,7 +81,7 @@ def read_table(
         if replaced.inputFiles():
             gone = replaced.select(key, F.col("old_batch").alias("batch"))
             rows = rows.join(gone, [key, "batch"], "left_anti").select(*rows.columns)
-    if table == "events":
+    if table == "events" and not whole:
         rows = rows.drop("path")
     return rows if keep_batch else rows.drop("batch")
 
@@ -83,6 +97,23 @@ def commit(spark: SparkSession, store: str, batch: str, count: int) -> None:
     )
 
 
+def compact(spark: SparkSession, store: str, name: str) -> None:
+    """Write the store's batches anew as the one batch `name`, without replaced rows and in few files per table.
+
+    Many small batches, as streams leave them, are slow to list and to read. The new batch becomes visible and the
+    old ones go out of sight together, when it is committed; their folders may be deleted after that. Repeating a
+    compaction that failed writes the batch again; one that was committed is left alone.
+    """
+    if name in written(spark, store):
+        return
+    old = committed(spark, store)
+    for table in [*TABLES, "embeddings", "inputs", "errors"]:
+        rows = read_table(spark, store, table, batches=old, whole=True)
+        write_batch(rows.hint("rebalance"), store, table, name)
+    write_batch(spark.createDataFrame([(batch,) for batch in old], "old_batch string"), store, "merged", name)
+    commit(spark, store, name, len(old))
+
+
 def table_counts(spark: SparkSession, store: str) -> DataFrame:
     """(table_name, row_count) of the five tables."""
     counts, batches = None, committed(spark, store)

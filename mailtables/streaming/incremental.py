@@ -54,7 +54,7 @@ def run(
     def handle(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
         batch = f"{name}-{batch_id}"
-        if batch in tables.committed(spark, store):
+        if batch in tables.written(spark, store):
             return
         staged = f"{store}/staged/batch={batch}"
         files.write.mode("overwrite").parquet(f"{staged}/files")

@@ -266,6 +266,26 @@ def test_stream_reads_new_files_once(spark, write, tmp_path):
     assert read(spark, store, "embeddings").count() == 2
 
 
+def test_compaction_keeps_every_row(spark, archive, write, tmp_path):
+    store, root = str(tmp_path / "store"), str(tmp_path / "in")
+    ingest.ingest(spark, root, store, CONFIG, "one", make_encoder=encoder)
+    write("in/zagain.eml", S.PLAIN.replace(b"Meet", b"Changed"))
+    write("in/bad.xml", "<root>")
+    ingest.ingest(spark, root, store, CONFIG, "two", make_encoder=encoder)
+    names = [*TABLES, "embeddings", "inputs", "errors"]
+    before = {t: sorted(map(repr, read(spark, store, t).collect())) for t in names}
+    for _ in range(2):
+        tables.compact(spark, store, "merged-1")
+    assert tables.committed(spark, store) == ["merged-1"]
+    assert {t: sorted(map(repr, read(spark, store, t).collect())) for t in names} == before
+    ingest.ingest(spark, root, store, CONFIG, "two")  # merged, so done already
+    write("in/zzagain.eml", S.PLAIN.replace(b"Meet", b"Third"))
+    ingest.ingest(spark, root, store, CONFIG, "three", make_encoder=encoder)
+    assert tables.committed(spark, store) == ["merged-1", "three"]
+    assert [r.body.split()[0] for r in read(spark, store, "messages").where("external_id = '<plain@example.com>'").collect()] == ["Third"]
+    assert read(spark, store, "events").count() == 3
+
+
 def test_source_report_and_sidecar(spark, archive, write, tmp_path):
     write("in/renamed", b"PK\x03\x04rest")
     write("in/mail.pst", b"!BDN")

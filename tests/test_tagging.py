@@ -69,6 +69,16 @@ def test_partner_of_another_account_is_tagged_once(spark):
     assert [(r.tag, r.kind) for r in tag_rows(tagged).collect()] == [("Heron", "account"), ("Heron", "partner")]
 
 
+def test_long_override_lists_are_joined(spark):
+    listed = {f"person{i}@x.example": f"Desk {i % 7}" for i in range(3000)}
+    rules = Rules(accounts=(Account("A", (), ("x.example",), ("Heron",), ()),), addresses=listed)
+    rows = [("person8@x.example", None, None, None, "heron", ""), ("other@x.example", None, None, None, "heron", ""), (None, None, None, None, None, None)]
+    tagged = tag(spark, rows, rules)
+    got = {r.message_id: (r.account_tag, r.partner_tags) for r in tagged.collect()}
+    assert got == {0: ("Desk 1", []), 1: ("A", ["Heron"]), 2: (None, [])}
+    assert "_listed" not in tagged.columns and len(tagged._jdf.queryExecution().logical().toString()) < 50_000
+
+
 def test_word_match(spark):
     rules = Rules(accounts=(Account("A", ("acme",), (), ("PO",), ("PO",)),))
     rows = [(None, None, None, None, "acme report", ""), (None, None, None, None, "acme PO.", "")]
