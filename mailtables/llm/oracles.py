@@ -168,7 +168,12 @@ FROM firsts
 """
 
 ORACLES: dict[str, str] = {
-    "op1_mixing": OP1, "op2_topk": OP2, "op5_sharding": OP5, "op6_jaccard": OP6,
+    "op1_mixing": OP1,
+    "op2_topk": OP2,
+    "op3_line_dedup": OP3,
+    "op5_sharding": OP5,
+    "op6_jaccard": OP6,
+    "op7_sentence_spans": OP7,
     "op9_decontamination": OP9,
     "op10_warc": OP10,
 }

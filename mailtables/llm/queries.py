@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import decontaminate, jaccard, mixing, sharding, suffixes, topk, toxicity, warc
+from mailtables.llm import decontaminate, jaccard, lines, mixing, sentences, sharding, suffixes, topk, toxicity, warc
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_topk(spark, sf_dir):
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
 
 
+def op3_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op4_toxicity(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scored(documents, labels).select("doc_id", "held_out", "score", "predicted")
@@ -45,6 +49,10 @@ def op6_jaccard(spark, sf_dir):
     return jaccard.link_groups(table(spark, sf_dir, "documents"), length=3, link=(90, 100))
 
 
+def op7_sentence_spans(spark, sf_dir):
+    return sentences.dedup_sentences(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op8_suffix_array(spark, sf_dir):
     return suffixes.dedup(table(spark, sf_dir, "documents"), texts=False)
 
@@ -63,9 +71,11 @@ def op10_warc(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_suffix_array": op8_suffix_array,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
