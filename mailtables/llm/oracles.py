@@ -167,6 +167,51 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+
+def _later_copies(units: str, joined: str, count: str, removed_runs: str, words: str = "1", least: int = 0) -> str:
+    """Units of documents that lie in a run of three which another place has before it."""
+    return f"""
+WITH whole AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), listed AS (
+  {units}
+), each AS (
+  SELECT doc_id, i, raw[i] AS raw, name[i] AS name FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM listed)
+), runs AS (
+  SELECT doc_id, i, name || chr(1) || lead(name, 1) OVER w || chr(1) || lead(name, 2) OVER w AS run FROM each
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later FROM runs
+  WHERE run IS NOT NULL AND {words} >= {least}
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM counted, (VALUES (0), (1), (2)) t(k) WHERE later
+), marked AS (
+  SELECT e.*, g.i IS NOT NULL AS gone, coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY e.doc_id ORDER BY e.i), false) AS before
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
+)
+SELECT doc_id, count(i)::bigint AS {count}, coalesce(sum(gone::int), 0)::bigint AS n_removed,
+  coalesce(sum((gone AND NOT before)::int), 0)::bigint AS {removed_runs},
+  sha256(coalesce(string_agg(raw, {joined} ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM whole LEFT JOIN marked USING (doc_id) GROUP BY doc_id
+"""
+
+
+OP3 = _later_copies(
+    "SELECT doc_id, string_split(text, chr(10)) AS raw, string_split(text, chr(10)) AS name FROM whole",
+    "chr(10)", "n_lines", "n_runs",
+)
+_END = r"[.!?]+[\x20\t\r\n\f]+|\n[\x20\t\r\n\f]*"
+OP7 = _later_copies(
+    f"""SELECT doc_id, raw, list_transform(raw, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS name FROM (
+    SELECT doc_id, list_filter(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(ends[i], '')),
+      lambda x: x <> '') AS raw
+    FROM (
+      SELECT doc_id, regexp_split_to_array(text, '{_END}') AS parts, regexp_extract_all(text, '{_END}') AS ends FROM whole
+    )
+  )""",
+    "''", "n_sentences", "n_spans", "len(regexp_extract_all(run, '[^ \\x01]+'))", 12,
+)
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_topk": OP2,
