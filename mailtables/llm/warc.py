@@ -22,6 +22,7 @@ MERGE_ROWS = 100_000
 #: `pages` has no capture times. A page counts as captured so many seconds after this one as its page_id says.
 FIRST_CAPTURE = 946684800
 _READ = 1 << 20
+_READ_TASKS = 100_000
 _ORDER = ["url_key", "captured", "page_id", "file", "offset"]
 
 _INDEX = pa.schema([
@@ -233,7 +234,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads:
     digest), payload (null for revisits and without `payloads`).
     """
     archives = files.select("file").distinct()
-    return archives.repartition("file").mapInArrow(lambda batches: _read(batches, folder, payloads), _RECORD_DDL)
+    tasks = min(_READ_TASKS, max(1, archives.count()))
+    return archives.repartition(tasks, "file").mapInArrow(lambda batches: _read(batches, folder, payloads), _RECORD_DDL)
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
@@ -304,4 +306,6 @@ def archived(pages: DataFrame, payloads: bool = False) -> DataFrame:
     folder = scratch_dir(spark, "warc")
     index = write_archives(pages, folder)
     histories = merge_runs(index).select("file", "offset", "position")
-    return read_archives(spark, folder, index, payloads).join(histories, ["file", "offset"])
+    # written first: only a written table's size is known, and these rows may be many
+    records = saved(read_archives(spark, folder, index, payloads), "warc-records")
+    return records.join(histories, ["file", "offset"])
