@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import ODD
+from odd import ODD
 from mailtables.llm import lines, sentences
 
 

@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from conftest import ODD
+from odd import ODD
 from mailtables.llm import mixing, sharding
 from mailtables.llm.ranks import shuffle_number
 from pyspark.sql import functions as F

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import ODD
+from odd import ODD
 from mailtables.llm import decontaminate, jaccard, suffixes, words
 from mailtables.llm.components import components
 
