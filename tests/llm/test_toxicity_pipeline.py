@@ -1,7 +1,7 @@
 import zlib
 
 import corpus_pipeline
-from conftest import ODD
+from odd import ODD
 from mailtables.llm import toxicity
 from pyspark.sql import functions as F
 
@@ -47,12 +47,12 @@ def test_odd_rows_and_labels(spark, docs):
 
 def test_learned_words_and_masks():
     lexicon = toxicity.Lexicon({"blorb": 2.0}, {"zork": 3.0})
-    names = dict(zip(toxicity.FEATURES, toxicity.features("You zorkian blorb, id!ot and i.d.i.o.t SHOUT stuuupid", lexicon, [0, 1, 2, 3, 4], 50)))
+    names = dict(zip(toxicity.FEATURES, toxicity.features("You zorkian blorb, id!ot and i.d.i.o.t SHOUT stuuupid", lexicon, [0, 1, 2, 3, 4, 5], 50)))
     assert names["learned_words"] > 0 and names["learned_beginnings"] > 0 and names["shouted"] > 0
     assert names["masked"] > 0 and names["masked_insults"] > 0 and names["stretched"] > 0
-    near = dict(zip(toxicity.FEATURES, toxicity.features("you are an idiot " + "word " * 20 + "idiot", lexicon, [0] * 5, 50)))
+    near = dict(zip(toxicity.FEATURES, toxicity.features("you are an idiot " + "word " * 20 + "idiot", lexicon, [0] * 6, 50)))
     assert near["second_person_near"] * 25 == 1 and near["insult_count"] > 0
-    long = toxicity.features("calm words " * 300_000, lexicon, [0] * 5, 3_300_000)
+    long = toxicity.features("calm words " * 300_000, lexicon, [0] * 6, 3_300_000)
     assert round(2.718281828 ** long[0]) - 1 == 600_000
 
 
