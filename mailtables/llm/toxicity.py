@@ -43,9 +43,12 @@ SECOND_PERSON = frozenset(
     "deine euch ihr".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+[*@$#!0-9]+[^\W\d_]+[^\s]*|\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b")
-_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+# Each of these starts with what is rare, so that most of a text is passed over quickly.
+_MASK = re.compile(r"[*@$#!0-9]+(?=[^\W\d_])")
+_MAYBE_SPACED = re.compile(r"[ .\-][^\W\d_][ .\-][^\W\d_][ .\-]")
+_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\w)")
+_SHOUTED = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}")
+_TOKEN = 40
 _UNMASK = str.maketrans("@$!013457", "asioieast")
 _DROP = str.maketrans("", "", "*#.- ")
 
@@ -76,7 +79,7 @@ def _parts(text: str) -> Iterator[str]:
         start = stop
 
 
-def _near(words: list[str], hits: frozenset[str]) -> int:
+def _near(words: list[str], hits: set[str]) -> int:
     """Hits with a second-person word within a few words."""
     persons = [at for at, word in enumerate(words) if word in SECOND_PERSON]
     if not persons:
@@ -87,9 +90,23 @@ def _near(words: list[str], hits: frozenset[str]) -> int:
     return int((np.minimum(np.array(places) - ends[after], ends[after + 1] - np.array(places)) <= _NEAR).sum())
 
 
+def _masked(text: str) -> Iterator[str]:
+    """Words with signs or digits between their letters, and words spelled letter by letter."""
+    for match in _MASK.finditer(text):
+        start = match.start()
+        if start and text[start - 1].isalpha():
+            yield text[max(0, start - _TOKEN):start].split()[-1] + text[start:match.end() + _TOKEN].split(None, 1)[0]
+    if _MAYBE_SPACED.search(text):
+        for match in _SPACED.finditer(text):
+            yield match[0]
+
+
 def features(text: str, lexicon: Lexicon, kinds: np.ndarray, size: int) -> list[float]:
-    """The dense features of one text. `kinds` counts its capitals, ! and ?, other punctuation and digits by byte."""
-    n = insults = threats = persons = near = masked = masked_insults = stretched = shouted = letters = 0
+    """The dense features of one text.
+
+    `kinds` counts, by byte, its capitals, ! and ?, other punctuation, digits, and letters met three times in a row.
+    """
+    n = insults = threats = persons = near = masked = masked_insults = shouted = letters = 0
     learned_words = learned_begins = different = 0
     odds = 0.0
     for part in _parts(text):
@@ -97,10 +114,10 @@ def features(text: str, lexicon: Lexicon, kinds: np.ndarray, size: int) -> list[
         n += len(words)
         counts = Counter(words)
         different += len(counts)
-        found = INSULTS.intersection(counts)
+        found = counts.keys() & INSULTS
         insults += sum(counts[w] for w in found)
-        threats += sum(counts[w] for w in THREATS.intersection(counts))
-        persons += sum(counts[w] for w in SECOND_PERSON.intersection(counts))
+        threats += sum(counts[w] for w in counts.keys() & THREATS)
+        persons += sum(counts[w] for w in counts.keys() & SECOND_PERSON)
         for word, count in counts.items():
             letters += len(word) * count
             own = lexicon.words.get(word)
@@ -114,19 +131,17 @@ def features(text: str, lexicon: Lexicon, kinds: np.ndarray, size: int) -> list[
                     odds += begin * count
         if found:
             near += _near(words, found)
-        for match in _MASKED.finditer(part):
+        for token in _masked(part):
             masked += 1
-            plain = match[0].lower()
+            plain = token.lower().strip(".,;:?\"')(")
             masked_insults += plain.translate(_UNMASK).translate(_DROP) in INSULTS or plain.translate(_DROP) in INSULTS
-        for match in _STRETCHED.finditer(part):
-            stretched += 1
         shouted += len(_SHOUTED.findall(part))
     whole, chars = max(1, n), max(1, size)
     return [
         math.log1p(n), insults / whole, math.log1p(insults), threats / whole, learned_words / whole,
         learned_begins / whole, odds / whole, math.log1p(learned_words + learned_begins), persons / whole, near / whole,
         kinds[1] / chars, shouted / whole, kinds[2] / chars, kinds[3] / chars, kinds[4] / chars, masked / whole,
-        masked_insults / whole, stretched / whole, letters / whole, different / whole,
+        masked_insults / whole, kinds[5] / chars, letters / whole, different / whole,
     ]
 
 
@@ -140,6 +155,13 @@ def _byte_kinds() -> np.ndarray:
 
 
 _KINDS = _byte_kinds()
+_LETTER = np.array([chr(code).isalpha() and code < 128 for code in range(256)])
+
+
+def _counted_kinds(text: np.ndarray) -> list[int]:
+    kinds = np.bincount(_KINDS[text], minlength=5).tolist()
+    again = (text[2:] == text[1:-1]) & (text[1:-1] == text[:-2]) & _LETTER[text[2:]]
+    return [*kinds, int(again.sum())]
 
 
 def feature_column(lexicon: Lexicon) -> Callable[[Column], Column]:
@@ -152,8 +174,7 @@ def feature_column(lexicon: Lexicon) -> Callable[[Column], Column]:
             data, bounds = text_bytes(part.column(0))
             for at, text in enumerate(part.column(0).to_pylist()):
                 own = data[bounds[at]:bounds[at + 1]]
-                kinds = np.bincount(_KINDS[own], minlength=5) if len(own) else np.zeros(5)
-                rows.append(features(text or "", lexicon, kinds, len(own)))
+                rows.append(features(text or "", lexicon, _counted_kinds(own), len(own)))
         return pa.array(rows, pa.list_(pa.float64()))
 
     return extract
@@ -225,10 +246,10 @@ class Model:
     prior: float = 0.0
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """`docs` with `score` (0 to 1) added, from the text alone; null texts count as empty ones."""
+        """`docs` with `score` (0 to 1) added or replaced, from the text alone; null texts count as empty ones."""
         if self.trees is None:
             return docs.withColumn("score", F.lit(float(self.prior)))
-        rows = packed(docs, "doc")
+        rows = packed(docs, "doc", without=("score",))
         rows = rows.withColumn("_features", array_to_vector(feature_column(self.lexicon)(F.col("doc.text"))))
         rows = self.trees.transform(rows).withColumn("_raw", vector_to_array("_probability")[1]).drop("_probability")
         if self.calibration is None:
