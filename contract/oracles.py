@@ -320,7 +320,7 @@ ORACLES: dict[str, str] = {
             FROM embeddings ORDER BY s DESC, vec_id LIMIT 10
         )
         SELECT row_number() OVER (ORDER BY s DESC, message_id) AS pos, message_id, round(s, 6) AS score,
-               printf('%.3f', s) AS shown_score, sent_at, sender_email, left(subject, 80) AS subject, account_tag
+               printf('%.3f', s) AS shown_score, sent_at, sender_email, subject, account_tag
         FROM hits JOIN ({_DOCUMENT_MESSAGES}) ON message_id = vec_id
     """,
     "hash_embed": f"""

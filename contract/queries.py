@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contract.runs import RUNS
 from contract.views import (
-    DOCUMENT_RULES, PAGE_RULES, bare, conversation_mail, document_messages, joined, pack, page_messages, table, utc,
+    DOCUMENT_RULES, PAGE_RULES, bare, conversation_mail, customer_xml, document_messages, joined, pack, page_messages, table, utc,
 )
 from mailtables.functions import text as X
 from mailtables.functions.ids import external_id
@@ -126,28 +127,6 @@ def zip_entries(spark, sf_dir):
     )
 
 
-def customer_xml(spark, sf_dir):
-    """An XML message per customer; those with a negative balance are malformed."""
-    number = F.col("c_custkey").cast("string")
-    address = F.concat(F.lit("c"), number, F.lit("@example.com"))
-    content = F.concat(
-        F.lit('<m:email xmlns:m="urn:mail"><m:OPFMessageCopySubject> '), F.col("c_name"),
-        F.lit(" </m:OPFMessageCopySubject>"),
-        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("<from>Sales &lt;"), address, F.lit("&gt;</from>")))
-        .when(F.col("c_custkey") % 3 == 1,
-              F.concat(F.lit("<from>Sales</from><emailAddress name='x' address='"), address, F.lit("'/>")))
-        .otherwise(F.lit("<from>Sales</from>")),
-        F.lit("<to>a@example.org; "), address, F.lit("</to><to>a@example.org</to>"),
-        F.lit("<sent>2024-01-02T03:04:05+01:00</sent><Body>Segment "), F.col("c_mktsegment"), F.lit("</Body>"),
-        F.when(F.col("c_acctbal") < 0, F.lit("</m:wrong>")).otherwise(F.lit("</m:email>")),
-    )
-    return table(spark, sf_dir, "customer", heavy=True).select(
-        F.concat(F.lit("xml/"), number, F.lit("/message.xml")).alias("path"),
-        F.lit(0).cast("timestamp").alias("modified"),
-        content.cast("binary").alias("content"),
-    )
-
-
 def xml_message_rows(spark, sf_dir):
     return xml_messages.xml_messages(xml_messages.flatten_xml(customer_xml(spark, sf_dir))).select(
         "path", "external_id", "subject", "body", "sender_email", joined("recipients_to").alias("recipients_to"),
@@ -451,8 +430,6 @@ def flagship(spark, sf_dir):
     )
 
 
-from contract.runs import RUNS  # noqa: E402  (it uses the views above)
-
 QUERIES: dict[str, Query] = {
     "mime_roundtrip": mime_roundtrip,
     "message_record": message_record,

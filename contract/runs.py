@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from contract.views import bare, conversation_mail, pack, table, write_file_per_task
+from contract.views import bare, conversation_mail, customer_xml, pack, table, write_file_per_task
 from mailtables.operators import entities, vectors
 from mailtables.plans import ingest
 from mailtables.schema import ENTITY
 from mailtables.session import scratch_dir
 from mailtables.sinks import tables
+from mailtables.sources import mime
 from mailtables.sources.sidecar import read_sidecar
 from mailtables.streaming import incremental
 
@@ -37,8 +38,6 @@ def incremental_ingest(spark, sf_dir):
 
 def ingest_errors(spark, sf_dir):
     """Archives of customers' XML messages, some malformed, and of category lists, which are no messages."""
-    from contract.queries import customer_xml
-
     root, store = scratch_dir(spark, "broken"), scratch_dir(spark, "broken-store")
     xml = customer_xml(spark, sf_dir).select("path", "content")
     lists = xml.select(F.replace("path", F.lit("message"), F.lit("Categories")).alias("path"), F.lit(b"<no list").alias("content"))
@@ -104,8 +103,6 @@ def stream_days(spark, sf_dir):
 
 def embeddings_store(spark, sf_dir):
     """Embeddings of conversation mail stored with the feature on and off, and a sidecar file read back."""
-    from mailtables.sources import mime
-
     parsed = mime.parse_mime(conversation_mail(table(spark, sf_dir, "conversations", heavy=True)))
     found = None
     for name, config in (("on", SEMANTIC), ("off", NO_RULES)):

@@ -22,6 +22,11 @@ def newest_first(time: str = "sent_at", key: str = "message_id") -> list[Column]
     return [F.desc_nulls_last(time), F.asc(key)]
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a sorted result; all of them, by a distributed sort, without a limit."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def matches(query: str, fields: Sequence[str] = ("subject", "body")) -> Column:
     """The query occurs in one of the fields; a NULL field does not match."""
     found = F.lit(False)
@@ -50,10 +55,10 @@ def matches_terms(
     return wanted
 
 
-def keyword_search(messages: DataFrame, wanted: str | Column, limit: int = SEARCH_ROWS) -> DataFrame:
-    """The newest messages that match a query text or a condition from `matches_terms`."""
+def keyword_search(messages: DataFrame, wanted: str | Column, limit: int | None = SEARCH_ROWS) -> DataFrame:
+    """The newest messages that match a query text or a condition from `matches_terms`; None for all of them."""
     condition = matches(wanted) if isinstance(wanted, str) else wanted
-    return messages.where(condition).select(*SEARCH_COLUMNS).orderBy(*newest_first()).limit(limit)
+    return _first(messages.where(condition).select(*SEARCH_COLUMNS).orderBy(*newest_first()), limit)
 
 
 def search_report(hits: DataFrame) -> DataFrame:
@@ -68,12 +73,12 @@ def search_report(hits: DataFrame) -> DataFrame:
     )
 
 
-def dossier(messages: DataFrame, account: str, limit: int = DOSSIER_ROWS, report: bool = False) -> DataFrame:
+def dossier(messages: DataFrame, account: str, limit: int | None = DOSSIER_ROWS, report: bool = False) -> DataFrame:
     """The newest messages of one account; `report` keeps only what a dossier shows, so bodies are not read."""
     own = messages.where(F.col("account_tag") == account)
     if report:
         own = own.select(*DOSSIER_COLUMNS)
-    return own.orderBy(*newest_first()).limit(limit)
+    return _first(own.orderBy(*newest_first()), limit)
 
 
 def timeline(messages: DataFrame, account: str) -> DataFrame:
@@ -85,21 +90,21 @@ def timeline(messages: DataFrame, account: str) -> DataFrame:
     )
 
 
-def semantic_search(messages: DataFrame, embeddings: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
-    """The messages nearest to a query vector, best first. The hits, `k` rows, are broadcast to the messages."""
+def semantic_search(messages: DataFrame, embeddings: DataFrame, query: list[float], k: int | None = TOP_K) -> DataFrame:
+    """The messages nearest to a query vector, best first; `k` hits are broadcast to the messages, all of them are not."""
     hits = top_k(embeddings, "message_id", query, k)
     found = messages.select("message_id", "sent_at", "sender_email", "subject", "account_tag")
-    return (
-        found.join(F.broadcast(hits), "message_id")
+    ranked = (
+        found.join(hits if k is None else F.broadcast(hits), "message_id")
         .select(
             "message_id",
             "score",
             display_score(F.col("score")).alias("shown_score"),
             "sent_at",
             "sender_email",
-            display_subject(F.col("subject")).alias("subject"),
+            "subject",
             "account_tag",
         )
         .orderBy(F.desc("score"), F.asc("message_id"))
-        .limit(k)
     )
+    return _first(ranked, k)

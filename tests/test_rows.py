@@ -121,6 +121,7 @@ def test_searches(spark):
     df = messages(spark)
     assert ids(search.keyword_search(df, "invoice")) == [4, 2, 5, 1]
     assert ids(search.keyword_search(df, "invoice", 2)) == [4, 2]
+    assert ids(search.keyword_search(df, "invoice", None)) == [4, 2, 5, 1] and ids(search.dossier(df, "Acme", None)) == [2, 1, 3]
     wanted = search.matches_terms(all_of=["invoice"], any_of=["acme", "contoso"])
     assert ids(search.keyword_search(df, wanted)) == [2, 5, 1]
     assert ids(search.keyword_search(df, search.matches_terms(none_of=["invoice"]))) == [3]
@@ -137,6 +138,8 @@ def test_semantic_search_keeps_order_and_drops_missing(spark):
     )
     found = search.semantic_search(messages(spark), vectors_df, [1.0, 0.0], k=3)
     assert [(r.message_id, r.shown_score) for r in found.collect()] == [(1, "1.000"), (2, "0.600")]
+    every = search.semantic_search(messages(spark), vectors_df, [1.0, 0.0], k=None)
+    assert [r.message_id for r in every.collect()] == [1, 2, 4]
 
 
 def test_dossier_report_does_not_read_bodies(spark, tmp_path):
