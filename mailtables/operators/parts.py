@@ -44,14 +44,13 @@ def part_texts(files: DataFrame, part_bytes: int | None = None) -> DataFrame:
 def bodies_from_parts(parts: DataFrame, cap: int | None = None) -> DataFrame:
     """(dir, body): the trimmed parts in name order, blank ones left out, joined by a blank line; whole, or cut to `cap`.
 
-    With a cap, parts are taken until their untrimmed lengths reach it. Only names and lengths are looked through for
-    that, and more than `cap` characters of one part can never show, so only that much of it travels.
+    With a cap, parts are taken until their untrimmed lengths reach it. More than `cap` characters of one part can
+    never show, so only that much of it travels.
     """
     piece = strip(F.col("text")) if cap is None else F.substring(strip(F.col("text")), 1, cap)
-    pieces = parts.select("dir", "name", piece.alias("piece"))
+    pieces = parts.select("dir", "name", F.length("text").alias("chars"), piece.alias("piece"))
     if cap is not None:
-        sized = parts.select("dir", "name", F.length("text").alias("chars"))
-        pieces = pieces.join(take_until(sized, "dir", "name", "chars", cap).select("dir", "name"), ["dir", "name"], "left_semi")
+        pieces = take_until(pieces, "dir", "name", "chars", cap)
     ordered = F.array_sort(F.collect_list(F.struct("name", "piece")))
     joined = F.array_join(F.transform(ordered, lambda part: part["piece"]), "\n\n")
     body = joined if cap is None else F.substring(joined, 1, cap)
