@@ -19,7 +19,7 @@ LENGTH = 400
 GRAM = 160
 #: An anchor string of more places is split by what stands before and behind it, so that it is not one task's work.
 _HOT = 2000
-#: Places matched together, at most. A group that may have more is salted, and what a part leaves open is counted apart.
+#: Places matched together, at most. A group that may have more is salted, and its windows are also counted across parts.
 _TILE = 12_000
 #: Offsets of open windows that are counted by their common bytes first.
 _STEP = 16
@@ -291,7 +291,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
 
 def _matched(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by number and tile: the repeated bytes around each anchor, and windows a part leaves open."""
+    """Contexts sorted by number and tile: the repeated bytes around each anchor, and the windows of a split group that
+    other parts may have too: those a part leaves open, and one place of each that it has settled."""
     for table in _runs(batches, 2):
         lead = table.column("lead").to_numpy()
         if (settled := np.flatnonzero(lead < 0)).size:
@@ -347,27 +348,43 @@ def _match_block(
     for first in range(0, lead_most + 1, _STEP):
         last = min(first + _STEP - 1, lead_most)
         offsets = np.arange(first, last + 1)[:, None]
-        open_ = (lead[split] >= offsets) & (n_after[split] >= length - offsets) & (low <= offsets) & (offsets <= high)
-        open_ &= (greatest < 0) | (offsets < least) | (offsets > greatest)
-        some = np.flatnonzero(open_.any(axis=0))
+        there = (lead[split] >= offsets) & (n_after[split] >= length - offsets) & (low <= offsets) & (offsets <= high)
+        some = np.flatnonzero(there.any(axis=0))
         if not len(some):
             continue
+        there = there[:, some].T
+        settled = (greatest[some, None] >= 0) & (least[some, None] <= offsets.T) & (offsets.T <= greatest[some, None])
         # all the windows of these offsets hold the bytes from the first one's end back to the last one's begin
         w1 = ahead[length - last][some]
         w2 = mixed(back[first][some] + np.uint64(first + 1))
         own = np.stack([
             mixed(ahead[length - o][some] ^ mixed(back[o][some] + np.uint64(o + 1))) | np.uint64(1) for o in range(first, last + 1)
         ], axis=1).view(np.int64)
-        own = np.where(open_[:, some].T, own, 0)
-        bounds_ = np.arange(len(some) + 1) * own.shape[1]
-        at = split[some]
+        own = np.where(there & (~settled | _first_of_each(group[split[some]], own, there & settled)), own, 0)
+        kept = np.flatnonzero(own.any(axis=1))
+        if not len(kept):
+            continue
+        bounds_ = np.arange(len(kept) + 1) * own.shape[1]
+        at = split[some[kept]]
         begins = place[at] - first
         yield _found(
-            node[at], begins, begins + length, w1.view(np.int64), w2.view(np.int64), np.full(len(at), first),
-            lists(own.ravel(), bounds_),
+            node[at], begins, begins + length, w1[kept].view(np.int64), w2[kept].view(np.int64), np.full(len(at), first),
+            lists(own[kept].ravel(), bounds_),
         )
 
 
+def _first_of_each(group: np.ndarray, windows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Marks, of the `wanted` windows (a row each of a group), one of each different window of a group."""
+    marks = np.zeros(windows.shape, bool)
+    row, column = np.nonzero(wanted)
+    order = np.lexsort((column, windows[row, column], group[row]))
+    row, column = row[order], column[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (np.diff(group[row]) != 0) | (np.diff(windows[row, column]) != 0)
+    marks[row[fresh], column[fresh]] = True
+    return marks
+
+
 def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
     hashes = np.zeros((rows.shape[1] + 1, len(rows)), np.uint64)
     for column in range(rows.shape[1]):
@@ -393,8 +410,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
        gram occurs again can be in a repeated window; those get the bytes around them.
     3. The contexts of each gram are sorted forwards and backwards as suffix arrays, which tell which windows repeat.
     4. A gram of very many places is split by the bytes its windows have in common, and salted if that may not be
-       enough. Windows that repeat within a part are settled there; the others are counted across parts by 128 bits,
-       first by the bytes that neighbouring windows share, then one by one.
+       enough. Windows that repeat within a part are settled there; the others, and one place of each settled one, are
+       counted across parts by 128 bits, first by the bytes that neighbouring windows share, then one by one.
 
     Texts, and lists as wide as texts, are never broadcast.
     """
@@ -435,7 +452,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def _across_parts(left: DataFrame) -> DataFrame:
-    """The open windows that also start at another place: node, begins, ends.
+    """The handed-on windows that also start at another place: node, begins, ends.
 
     One place may come several times (two anchors in one window), so different places are counted.
     """

@@ -174,6 +174,42 @@ def test_suffix_dedup(docs, monkeypatch, hot, tile):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in out)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_lone_place_finds_windows_settled_in_another_part(spark, monkeypatch, seed):
+    """Run in this process, as tasks do not see patched limits."""
+    monkeypatch.setattr(suffixes, "_HOT", 5)
+    monkeypatch.setattr(suffixes, "_TILE", 100)
+    numbers = random.Random(seed)
+    some = lambda k: "".join(numbers.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    passage, texts = some(45), []
+    for copies in [3] * 100 + [1] * 100:
+        ahead = numbers.randrange(0, 7)
+        shared = some(ahead) + passage + some(6 - ahead)  # two windows, of three places each
+        texts += [some(10) + shared + some(10) for _ in range(copies)]
+    data, bounds = words.text_bytes(pa.array(texts))
+    place, number = suffixes.anchors(data, bounds, 50, 40)
+    node = np.searchsorted(bounds, place, "right") - 1
+    members = Counter(number.tolist())
+    assert max(members.values()) > 200
+    own = [[] for _ in texts]
+    for n, p, name in zip(node.tolist(), (place - bounds[node]).tolist(), number.view(np.int64).tolist()):
+        own[n].append((name, [p], members[name % (1 << 64)]))
+    columns = [texts, range(len(texts)), *([[x[k] for x in each] for each in own] for k in range(3))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["text", "node", "numbers", "places", "members"])
+    around = pa.Table.from_batches(suffixes._contexts(iter([batch]), 50, 40))
+    around = around.sort_by([("number", "ascending"), ("tile", "ascending")]).combine_chunks()
+    matched = pa.Table.from_batches(suffixes._matched(iter(around.to_batches()), 50, 40)).to_pylist()
+    left = spark.createDataFrame([tuple(r.values()) for r in matched if r["windows"]], suffixes._FOUND_DDL)
+    found = [(r["node"], r["begins"], r["ends"]) for r in matched if not r["windows"]]
+    found += map(tuple, suffixes._across_parts(left).collect())
+    covered = [set() for _ in texts]
+    for n, begins, ends in found:
+        covered[n].update(range(begins, ends))
+    times = Counter(t[i:i + 50] for t in texts for i in range(len(t) - 49))
+    for text, got in zip(texts, covered):
+        assert got == {j for i in range(len(text) - 49) if times[text[i:i + 50]] > 1 for j in range(i, i + 50)}
+
+
 def test_suffix_dedup_odd_rows(docs):
     out = suffixes.dedup(docs(ODD), texts=False).collect()
     assert Counter(tuple(r) for r in out) == brute_dedup(ODD, 400)
