@@ -14,7 +14,7 @@ from mailtables.llm.stored import saved
 from mailtables.llm.words import PLAIN, list_values, lists, pieces, words
 
 WINDOW = 13
-#: Test windows searched for in one pass over the index; more of them take more passes.
+#: Test windows searched for in one pass over the index; more of them take more passes over the same index.
 WINDOWS_A_PASS = 100_000
 _SEGMENT_BYTES = 512 << 10
 _AT_ONCE = 1 << 20  # starts looked at together
@@ -234,11 +234,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
 
     A-Z are lower-cased; words are runs of letters, digits and characters beyond ASCII. Null and empty texts have no
     words and no hits; an item without words is never found. Columns other than doc_id (bigint) and text, and item_id
-    and text, are not read. The test windows are sent to all tasks, at most `WINDOWS_A_PASS` of them in one pass.
+    and text, are not read. The test windows are sent to all tasks, at most `WINDOWS_A_PASS` of them in one pass. All
+    passes search one written index, over the terms of all windows, so a document has the same place in each.
     """
     spark = docs.sparkSession
     runs = test_windows(benchmark, window)
     passes = max(1, -(-runs.count() // WINDOWS_A_PASS))
+    vocabulary = runs.select(F.explode("terms").alias("term")).distinct().toArrow().column("term").to_numpy()
+    index = build_index(docs, np.sort(vocabulary))
     found = []
     for number in range(passes):
         own = runs.filter(F.pmod(F.xxhash64("item", "terms"), F.lit(passes)) == number).collect()
@@ -249,8 +252,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
             terms, np.array([len(run["terms"]) for run in own], np.int64),
             np.array([run["item"] for run in own], object),
         )
-        filled = np.arange(window) < windows.lengths[:, None]
-        index = build_index(docs, np.unique(terms[filled]))
         shared = spark.sparkContext.broadcast(windows)
         found.append(index.mapInArrow(lambda batches, w=shared: _search(batches, w.value, slop), _FOUND_DDL))
     if passes == 1:

@@ -288,6 +288,28 @@ def test_decontamination(spark, docs, monkeypatch, passes, slop):
     assert got == brute_found(rows, items, 4, slop)
 
 
+def test_passes_agree_on_documents_read_in_another_order(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(decontaminate, "WINDOWS_A_PASS", 5)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(5))) for i in range(12)]
+    rows = [(i, f"{'own ' * i}{items[i % 12][1]} {items[i % 7][1]}", "s") for i in range(40)]
+    reads = str(tmp_path / "reads")
+
+    def turned(batches):
+        """Rows start elsewhere each time they are read, as shuffled rows may."""
+        with open(reads, "a") as file:
+            file.write("x")
+            file.flush()
+            start = file.tell()
+        table = pa.Table.from_batches(batches)
+        yield from table.take([(i + start) % len(table) for i in range(len(table))]).to_batches()
+
+    moving = docs(rows).select("doc_id", "text").coalesce(1).mapInArrow(turned, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    out = decontaminate.find(moving, benchmark, window=4).collect()
+    got = Counter((r["doc_id"], r["n_words"], hits(r["spans"]), tuple(r["items"]), ()) for r in out)
+    assert got == brute_found(rows, items, 4)
+
+
 def test_contaminated_rows_go(spark, docs):
     passage = " ".join(f"b{i}" for i in range(13))
     rows = [(1, passage, "s"), (2, "clean " * 300 + passage, "s"), (3, "clean", "s"), (None, None, None), (4, passage + " x" * 247, "s")]
