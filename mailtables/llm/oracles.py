@@ -44,14 +44,24 @@ SELECT doc_id, size, source_size, target, sum(CASE WHEN fits THEN size ELSE 0 EN
 FROM fitted GROUP BY doc_id, id, source, size, total, source_size, target
 """
 
-OP5 = f"""
-WITH RECURSIVE bits(byte, crc, step) AS (
+_CRC_TABLE = """bits(byte, crc, step) AS (
   SELECT b, b, 0 FROM range(256) t(b)
   UNION ALL
   SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, step + 1 FROM bits WHERE step < 8
 ), crc_table AS (
   SELECT list(crc ORDER BY byte) AS entries FROM bits WHERE step = 8
-), sizes AS (
+)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, with `entries` of _CRC_TABLE in scope."""
+    return f"""xor(4294967295, list_reduce(
+      list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint),
+      lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::bigint))"""
+
+
+OP5 = f"""
+WITH RECURSIVE {_CRC_TABLE}, sizes AS (
   SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::bigint + 1 AS size,
     xor(4294967295, list_reduce(
       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint),
@@ -212,6 +222,47 @@ OP7 = _later_copies(
     "''", "n_sentences", "n_spans", "len(regexp_extract_all(run, '[^ \\x01]+'))", 12,
 )
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::varchar, '') AS owner, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), hashed AS (
+  SELECT low, {_crc32("owner || ':' || low")} AS h
+  FROM (SELECT owner, translate(run, {_AZ}) AS low FROM runs WHERE length(run) >= 7), crc_table
+), edited AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(low, 1, (h % length(low))::int) || substring(low, (h % length(low))::int + 2)
+    ELSE low END AS word
+  FROM hashed
+), words AS (
+  SELECT word, count(*)::bigint AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), dels AS (
+  SELECT word, n, i, substring(word, 1, i::int) || substring(word, i::int + 2) AS del
+  FROM (SELECT word, n, unnest(range(length(word)::bigint)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM dels a JOIN dels b ON a.i = b.i AND a.del = b.del AND a.word <> b.word
+  UNION
+  SELECT a.word, w.word, w.n FROM dels a JOIN words w ON a.del = w.word
+  UNION
+  SELECT w.word, a.word, a.n FROM dels a JOIN words w ON a.del = w.word
+), best AS (
+  SELECT word, count(*)::bigint AS n_near, first(other ORDER BY other_n DESC, other) AS other,
+    max(other_n) AS other_n
+  FROM pairs GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::bigint AS n_near,
+    CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form,
+    CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END::bigint AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain(word, root, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL
+  SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_topk": OP2,
@@ -221,4 +272,5 @@ ORACLES: dict[str, str] = {
     "op7_sentence_spans": OP7,
     "op9_decontamination": OP9,
     "op10_warc": OP10,
+    "op11_spelling": OP11,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailtables.llm import decontaminate, jaccard, lines, mixing, sentences, sharding, suffixes, topk, toxicity, warc
+from mailtables.llm import (
+    decontaminate, jaccard, lines, mixing, sentences, sharding, spelling, suffixes, topk, toxicity, warc,
+)
 from mailtables.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,11 @@ def op10_warc(spark, sf_dir):
     )
 
 
+def op11_spelling(spark, sf_dir):
+    groups = spelling.spelling_groups(table(spark, sf_dir, "documents"))
+    return groups.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
@@ -79,4 +86,5 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
 }
