@@ -263,6 +263,44 @@ SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
 FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r USING (word)
 """
 
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE}, t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), lens AS (
+  SELECT conv_id, count(*) AS len FROM t GROUP BY conv_id
+), hs AS (
+  SELECT conv_id AS c, {_crc32("conv_id::varchar")} % 9 AS h, conv_id - conv_id % 5 AS p FROM lens, crc_table
+), rebuilt AS (
+  SELECT hs.c, t.k AS j, t.role, t.text FROM hs JOIN t ON t.conv_id = hs.p AND t.k < hs.h
+  UNION ALL
+  SELECT hs.c, least(hs.h, coalesce(l.len, 0)) + t.k - hs.h AS j, t.role, t.text
+  FROM hs JOIN t ON t.conv_id = hs.c AND t.k >= hs.h LEFT JOIN lens l ON l.conv_id = hs.p
+), paths AS (
+  SELECT hs.c, coalesce(r.path, []) AS path FROM hs LEFT JOIN (
+    SELECT c, list({{'r': role, 't': text}} ORDER BY j) AS path FROM rebuilt GROUP BY c
+  ) r USING (c)
+), members AS (
+  SELECT c, d, len(path) AS l, list_slice(path, 1, d) AS prefix,
+    CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(path[d].t)) END AS b
+  FROM (SELECT c, path, unnest(range(len(path)::bigint + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT prefix, d AS depth, min(c) AS conv_id, count(*)::bigint AS n_convs, max(b) AS b,
+    sha256(coalesce(string_agg(CASE WHEN l = d THEN c::varchar END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM members GROUP BY prefix, d
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    (SELECT count(*) FROM nodes ch WHERE ch.depth = n.depth + 1 AND list_slice(ch.prefix, 1, n.depth) = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = list_slice(n.prefix, 1, n.depth - 1)
+)
+SELECT x.conv_id, x.depth, x.parent_conv_id, x.n_convs, x.n_children::bigint AS n_children,
+  count(*) FILTER (WHERE y.n_children = 0)::bigint AS n_leaves, sum((y.n_convs - 1) * y.b)::bigint AS saved_tokens,
+  x.ends_sha256
+FROM linked x JOIN linked y ON y.depth >= x.depth AND list_slice(y.prefix, 1, x.depth) = x.prefix
+GROUP BY x.conv_id, x.depth, x.parent_conv_id, x.n_convs, x.n_children, x.ends_sha256
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_topk": OP2,
@@ -273,4 +311,5 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": OP9,
     "op10_warc": OP10,
     "op11_spelling": OP11,
+    "op12_prefix_trie": OP12,
 }

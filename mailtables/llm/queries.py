@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailtables.llm import (
-    decontaminate, jaccard, lines, mixing, sentences, sharding, spelling, suffixes, topk, toxicity, urls, warc,
+    decontaminate, jaccard, lines, mixing, prefix_trie, sentences, sharding, spelling, suffixes, topk, toxicity, urls, warc,
 )
 from mailtables.session import configure, spread
 
@@ -75,6 +75,10 @@ def op11_spelling(spark, sf_dir):
     return groups.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_url_filters(spark, sf_dir):
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "learned")
 
@@ -91,5 +95,6 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
     "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_url_filters": op13_url_filters,
 }
