@@ -195,6 +195,36 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, account_tag AS tag, 'account' AS kind FROM tagged WHERE account_tag IS NOT NULL
         UNION ALL SELECT doc_id, unnest(partners) AS tag, 'partner' AS kind FROM tagged
     """,
+    "tag_many_accounts": """
+    WITH syl AS (
+        SELECT ['th', 'at', 'in', 'on', 'er', 'an', 're', 'en', 'st', 'he', 'ble', 'tion'] AS s
+    ), accounts AS (
+        SELECT c_custkey AS place, c_name AS name,
+            s[c_custkey % 12 + 1] || s[(c_custkey // 12) % 12 + 1] || s[(c_custkey // 144) % 12 + 1] AS alias,
+            s[(c_custkey * 5 + 3) % 12 + 1] || s[((c_custkey * 5 + 3) // 12) % 12 + 1]
+                || s[((c_custkey * 5 + 3) // 144) % 12 + 1] AS keyword,
+            s[(c_custkey * 3 + 1) % 12 + 1] || s[((c_custkey * 3 + 1) // 12) % 12 + 1]
+                || s[((c_custkey * 3 + 1) // 144) % 12 + 1] AS partner,
+            '@src' || (c_custkey % 20) || '.example.net' AS domain
+        FROM customer, syl
+    ), partners AS (
+        SELECT upper(left(partner, 1)) || substr(partner, 2) AS partner, min(place) AS first FROM accounts GROUP BY 1
+    ), words AS (
+        SELECT doc_id, lower(source || ' in ' || lang || chr(10) || text) AS t,
+               lower(source || '@' || lang || '.example.com' || chr(10) || 'Desk@' || source || '.example.net') AS a
+        FROM documents
+    ), scored AS (
+        SELECT doc_id, min(place) FILTER (
+            WHERE contains(t, alias)::INT + contains(t, keyword)::INT + 2 * contains(a, domain)::INT >= 2) AS place
+        FROM words, accounts GROUP BY doc_id
+    ), named AS (
+        SELECT doc_id, string_agg(partner, ';' ORDER BY first) AS partner_tags
+        FROM words, partners WHERE contains(t, lower(partner)) GROUP BY doc_id
+    )
+    SELECT w.doc_id, a.name AS account_tag, coalesce(n.partner_tags, '') AS partner_tags
+    FROM words w LEFT JOIN scored s USING (doc_id) LEFT JOIN accounts a ON a.place = s.place
+        LEFT JOIN named n ON n.doc_id = w.doc_id
+    """,
     "tag_overrides": r"""
         WITH pages2 AS (
             SELECT *, contains(url, 'utm_source') AS feed, CASE

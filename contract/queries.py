@@ -193,6 +193,38 @@ def tag_rows(spark, sf_dir):
     return tagging.tag_rows(tagged).withColumnRenamed("message_id", "doc_id")
 
 
+# Syllables of the invented prose, of which the customer rules make their words.
+SYLLABLES = ("th", "at", "in", "on", "er", "an", "re", "en", "st", "he", "ble", "tion")
+
+
+def _syllable_word(key):
+    """A word of three syllables that a number spells in base 12, lowest digit first."""
+    s = F.array(*[F.lit(x) for x in SYLLABLES])
+    n = len(SYLLABLES)
+    return F.concat(*[F.get(s, (F.floor(key / n ** i) % n).cast("int")) for i in range(3)])
+
+
+def customer_rules(spark, sf_dir) -> tagging.Rules:
+    """One account per customer, in key order: an alias and a keyword made of syllables, a source's domain and a
+    partner, so that the rules grow with the table."""
+    key = F.col("c_custkey")
+    accounts = table(spark, sf_dir, "customer").select(
+        key.alias("place"), F.col("c_name").alias("name"), F.array(_syllable_word(key)).alias("aliases"),
+        F.array(F.concat(F.lit("src"), key % 20, F.lit(".example.net"))).alias("domains"),
+        F.array(F.initcap(_syllable_word(key * 3 + 1))).alias("partners"),
+        F.array(_syllable_word(key * 5 + 3)).alias("keywords"),
+    )
+    return tagging.rules_from_table(accounts)
+
+
+def tag_many_accounts(spark, sf_dir):
+    messages = document_messages(table(spark, sf_dir, "documents", heavy=True))
+    tagged = tagging.tag_accounts(messages, customer_rules(spark, sf_dir))
+    return tagged.select(
+        F.col("message_id").alias("doc_id"), "account_tag", joined("partner_tags").alias("partner_tags")
+    )
+
+
 def tag_overrides(spark, sf_dir):
     tagged = tagging.tag_accounts(page_messages(table(spark, sf_dir, "pages")), PAGE_RULES)
     return tagged.select(
@@ -444,6 +476,7 @@ QUERIES: dict[str, Query] = {
     "tag_accounts": tag_accounts,
     "tag_rows": tag_rows,
     "tag_overrides": tag_overrides,
+    "tag_many_accounts": tag_many_accounts,
     "entities_regex": entities_regex,
     "emails_distinct": emails_distinct,
     "keyword_search": keyword_search,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailtables.functions.patterns import to_java
+from mailtables.operators import rule_table
 from mailtables.schema import TAG
 
 # Points per kind of hit and the score a primary account needs.
@@ -30,6 +31,8 @@ class Account:
 
 #: Address overrides written into the plan as literals; a longer list is joined.
 LITERAL_ADDRESSES = 100
+#: Rule words written into the plan as `contains` expressions; with more, all words go through automata.
+LITERAL_WORDS = 64
 
 
 @dataclass(frozen=True)
@@ -72,19 +75,48 @@ def rules_from_config(config: dict) -> Rules:
     )
 
 
+#: A rule table is read into the driver, which builds the automata's word lists from it, only within these bounds.
+TABLE_ROWS = 2_000_000
+TABLE_BYTES = 256 << 20
+
+
+def rules_from_table(rows: DataFrame, **weights) -> Rules:
+    """Rules whose accounts are the rows of a table: place (config order), name, aliases, domains, partners, keywords
+    (arrays of strings). The table is counted before it is read, and must lie within TABLE_ROWS and TABLE_BYTES."""
+    lists = ("aliases", "domains", "partners", "keywords")
+    width = F.octet_length("name") + sum(F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + 16 for c in lists)
+    count, wide = rows.agg(F.count("*"), F.sum(width)).first()
+    if count > TABLE_ROWS or (wide or 0) > TABLE_BYTES:
+        raise ValueError(f"a rule table of {count} rows and {wide} bytes is beyond the bounds of one driver")
+    accounts = tuple(
+        Account(r["name"], *(tuple(w for w in (r[c] or ()) if w) for c in lists))
+        for r in rows.orderBy("place").collect()
+    )
+    return Rules(accounts=accounts, **weights)
+
+
 def load_config(path: str) -> dict:
     """A YAML config file, read once on the driver."""
     with open(path, encoding="utf-8") as file:
         return yaml.safe_load(file) or {}
 
 
-def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring") -> DataFrame:
+def rule_words(rules: Rules) -> int:
+    """The number of words and domains that the accounts' rules look for."""
+    return sum(len(a.aliases) + len(a.keywords) + len(a.domains) + len(a.partners) for a in rules.accounts)
+
+
+def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring", method: str = "auto") -> DataFrame:
     """Add `account_tag`, `partner_tags` and `tags` (`array<struct<tag,kind>>`).
 
     Needs `sender_email`, `recipients_to/cc/bcc`, `subject` and `body`. An address override wins, then the
     first subject pattern that matches; both leave out partners. Otherwise the first account whose score
     reaches the threshold is primary, and the partners of every account, primary or not, are tagged when the
     text names them. `match="word"` asks for whole words where the default takes any substring.
+
+    `method`: `expressions` writes one `contains` per rule word into the plan; `table` scans each text once with
+    automata over all words (`rule_table`), so the plan does not grow with the rules; `auto` takes the table beyond
+    `LITERAL_WORDS` words. Both give the same rows.
     """
     blank = F.lit("")
     recipients = [F.concat_ws("\n", c) for c in ("recipients_to", "recipients_cc", "recipients_bcc")]
@@ -93,9 +125,15 @@ def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring") ->
     ).withColumn("_addresses", F.lower(F.concat_ws("\n", F.col("sender_email"), *recipients)))
     if len(rules.addresses) > LITERAL_ADDRESSES:
         staged = _listed(staged, rules.addresses)
-    found = staged.withColumn("_override", _override(rules)).withColumn(
-        "_primary", _primary(rules, match)
-    ).withColumn("_partners", _partners(rules, match))
+    if method == "table" or (method == "auto" and rule_words(rules) > LITERAL_WORDS):
+        staged, primary, named = rule_table.tag_by_table(staged, rules, match)
+        found = staged.withColumn("_override", _override(rules)).withColumn("_primary", primary).withColumn(
+            "_partners", named
+        ).drop(*rule_table.pass_columns(staged))
+    else:
+        found = staged.withColumn("_override", _override(rules)).withColumn(
+            "_primary", _primary(rules, match)
+        ).withColumn("_partners", _partners(rules, match))
     account = F.coalesce("_override", "_primary")
     partners = F.when(F.col("_override").isNull(), F.col("_partners")).otherwise(F.array().cast("array<string>"))
     tagged = found.withColumn("account_tag", account).withColumn("partner_tags", partners)
