@@ -79,21 +79,39 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule, verdict, items, n_items, confidence, support from `labelled` (items: tokens, verdict).
+    """rule, verdict, items, n_items, confidence, support, anchor from `labelled` (items: tokens, verdict).
 
-    FP-growth sees every distinct labelled URL once; rules whose consequent is one verdict item are kept, named by their sorted
-    antecedent (`rule`), which is also the last tie-break when rules are ranked.
+    FP-growth sees every distinct labelled URL once; rules whose consequent is one verdict item are kept, named by
+    their sorted antecedent (`rule`). Rules rank by confidence, then support (both higher first), then fewer items,
+    then name. A rule is dropped when a rule of the same verdict with one item less is at least as confident: that
+    one fits wherever it does and ranks above it, so no verdict changes. `anchor` is the rule's rarest item (by
+    support, then name), under which the inverted index files it.
     """
     transactions = labelled.select(F.array_union("items", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
     rules = model.associationRules.filter(
         (F.size("consequent") == 1) & F.col("consequent")[0].startswith("verdict:")
         & ~F.exists("antecedent", lambda i: i.startswith("verdict:"))
+    ).select(
+        F.array_sort("antecedent").alias("items"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"),
+        "confidence", "support",
     )
-    return rules.select(
-        F.array_join(F.array_sort("antecedent"), " ").alias("rule"),
-        F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"),
-        F.col("antecedent").alias("items"), F.size("antecedent").alias("n_items"), "confidence", "support",
+    rules = saved(rules.withColumn("rule", F.array_join("items", " ")), "url-all-rules")
+    parents = rules.select(
+        F.explode(F.transform("items", lambda i: F.array_join(F.array_remove("items", i), " "))).alias("parent_rule"),
+        "rule", "verdict", "confidence",
+    )
+    covered = parents.join(
+        rules.select(F.col("rule").alias("parent_rule"), "verdict", F.col("confidence").alias("parent_confidence")),
+        ["parent_rule", "verdict"],
+    ).filter(F.col("parent_confidence") >= F.col("confidence")).select("rule", "verdict").distinct()
+    kept = rules.join(covered, ["rule", "verdict"], "left_anti")
+    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq"))
+    anchors = kept.select("rule", "verdict", F.explode("items").alias("item")).join(singles, "item").groupBy(
+        "rule", "verdict"
+    ).agg(F.min(F.struct("freq", "item"))["item"].alias("anchor"))
+    return kept.join(anchors, ["rule", "verdict"]).select(
+        "rule", "verdict", "items", F.size("items").alias("n_items"), "confidence", "support", "anchor"
     )
 
 
@@ -101,7 +119,7 @@ def judged(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, learned for every row of `pages` (page_id, url; other columns unread).
 
     `rule` is the longest fixed rule that fits, `verdict` its verdict; where none fits, the verdict of the mined rule
-    of highest confidence, then support, then most items, then smallest name (`learned`, its items joined by spaces);
+    of highest confidence, then support, then fewest items, then smallest name (`learned`, its items joined by spaces);
     where none of these fits either, `OTHERWISE`. A null or schemeless URL has empty host and path and is judged like
     any other. Everything is worked out once per distinct URL, and each distinct labelled URL is one transaction, so a
     URL on a third of all pages is one row until the final join (broadcast when the verdicts are small, else split
@@ -114,12 +132,13 @@ def judged(pages: DataFrame) -> DataFrame:
                              rule.alias("rule"), verdict.alias("fixed")), "url-tokens")
     labelled = urls.filter(F.col("rule").isNotNull()).select("items", F.col("fixed").alias("verdict"))
     rules = saved(mined_rules(labelled), "url-rules")
-    index = lookup(rules.select(F.col("rule").alias("learned"), F.explode("items").alias("item"), "n_items"), "item")
-    open_urls = urls.filter(F.col("rule").isNull()).select("url", F.explode("items").alias("item"))
-    hits = open_urls.join(index, "item").groupBy("url", "learned", "n_items").agg(F.count("*").alias("n"))
-    ranked = lookup(rules.select(F.col("rule").alias("learned"), F.col("verdict").alias("mined"), "confidence", "support"))
-    fitting = hits.filter(F.col("n") == F.col("n_items")).join(ranked, "learned")
-    key = F.struct(-F.col("confidence"), -F.col("support"), -F.col("n_items"), F.col("learned").alias("learned"),
+    # each rule is filed under its rarest item only, and checked whole against the URL's items
+    index = lookup(rules.select(F.col("anchor").alias("item"), F.col("rule").alias("learned"),
+                                F.col("items").alias("rule_items"), F.col("verdict").alias("mined"), "n_items",
+                                "confidence", "support"), "learned")
+    open_urls = urls.filter(F.col("rule").isNull()).select("url", "items", F.explode("items").alias("item"))
+    fitting = open_urls.join(index, "item").filter(F.forall("rule_items", lambda i: F.array_contains("items", i)))
+    key = F.struct(-F.col("confidence"), -F.col("support"), F.col("n_items"), F.col("learned").alias("learned"),
                    F.col("mined").alias("mined"))
     chosen = fitting.groupBy(F.col("url").alias("open_url")).agg(F.min(key).alias("best"))
     per_url = urls.join(chosen, F.col("url").eqNullSafe(F.col("open_url")), "left").select(

@@ -54,7 +54,7 @@ def brute(rows, support=urls.MIN_SUPPORT, confidence=urls.MIN_CONFIDENCE):
         learned = None
         if rule is None:
             have = items(url, host, path)
-            fitting = [(-c, -s, -k, name, v) for name, (v, c, s, k) in rules.items() if set(name.split(" ")) <= have]
+            fitting = [(-c, -s, k, name, v) for name, (v, c, s, k) in rules.items() if set(name.split(" ")) <= have]
             if fitting:
                 best = min(fitting)
                 learned, verdict = best[3], best[4]
