@@ -72,6 +72,11 @@ def _fold(column: str) -> str:
     return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _holds(*grams: str) -> str:
+    """Every trigram occurs in the folded subject (fs) or body (fb): what the substring index answers."""
+    return "(" + " AND ".join(f"(contains(fs, '{g}') OR contains(fb, '{g}'))" for g in grams) + ")"
+
+
 def _like(word: str) -> str:
     return f"({_fold('subject')} LIKE '%{word}%' OR {_fold('body')} LIKE '%{word}%')"
 
@@ -261,6 +266,27 @@ ORACLES: dict[str, str] = {
     "keyword_boolean": _search(
         f"{_like('the')} AND ({_like('thatin')} OR {_like('hehely')}) AND NOT {_like('ononst')}"
     ),
+    "keyword_search_indexed": _search(_like("hehely")),
+    "keyword_wildcard_indexed": _search(_like("the%on_nst"), 100),
+    "keyword_boolean_indexed": _search(
+        f"{_like('the')} AND ({_like('thatin')} OR {_like('hehely')}) AND NOT {_like('ononst')}"
+    ),
+    "keyword_index_reads": f"""
+        WITH m AS ({_DOCUMENT_MESSAGES}), f AS (
+            SELECT *, {_fold("coalesce(subject, '')")} AS fs, {_fold("coalesce(body, '')")} AS fb FROM m
+        )
+        SELECT '(all messages)' AS search, count(*) AS bodies_read, NULL::BIGINT AS hits FROM m
+        UNION ALL
+        SELECT 'HeHely', count(*), count(*) FILTER (WHERE {_like('hehely')})
+        FROM f WHERE {_holds('heh', 'ehe', 'hel', 'ely')}
+        UNION ALL
+        SELECT 'the%on_nst', count(*), count(*) FILTER (WHERE {_like('the%on_nst')})
+        FROM f WHERE {_holds('the', 'nst')}
+        UNION ALL
+        SELECT 'the AND (thatin OR hehely) AND NOT ononst', count(*),
+            count(*) FILTER (WHERE {_like('the')} AND ({_like('thatin')} OR {_like('hehely')}) AND NOT {_like('ononst')})
+        FROM f WHERE {_holds('the')} AND ({_holds('tha', 'hat', 'ati', 'tin')} OR {_holds('heh', 'ehe', 'hel', 'ely')})
+    """,
     "dossier": """
         SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos, o_orderkey AS message_id,
                o_orderdate AS sent_at, c_name AS sender_email, o_orderpriority AS subject

@@ -14,7 +14,7 @@ from contract.views import (
 from mailtables.functions import text as X
 from mailtables.functions.ids import external_id
 from mailtables.functions.times import mail_date
-from mailtables.operators import dedupe, entities, ordinals, parts, tagging, vectors
+from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vectors
 from mailtables.plans import ingest, messages as M, search
 from mailtables.session import scratch_dir
 from mailtables.sinks import csv_export, tables
@@ -283,6 +283,61 @@ def keyword_boolean(spark, sf_dir):
     return _hits(search.keyword_search(document_messages(table(spark, sf_dir, "documents")), wanted))
 
 
+def _indexed_messages(spark, sf_dir):
+    """The document messages and a trigram index of them, written as one stored batch."""
+    messages = document_messages(table(spark, sf_dir, "documents"))
+    folder = scratch_dir(spark, "trigram-index")
+    trigram_index.write_batch(messages, folder)
+    return messages, spark.read.parquet(folder)
+
+
+#: The searches of the indexed queries: (all_of, any_of, none_of), as the plain queries above run them.
+INDEXED_SEARCHES = {
+    "HeHely": (["HeHely"], [], []),
+    "the%on_nst": (["the%on_nst"], [], []),
+    "the AND (thatin OR hehely) AND NOT ononst": (["the"], ["thatin", "hehely"], ["ononst"]),
+}
+
+
+def _indexed_search(spark, sf_dir, name, limit=search.SEARCH_ROWS):
+    messages, index = _indexed_messages(spark, sf_dir)
+    all_of, any_of, none_of = INDEXED_SEARCHES[name]
+    narrowed = trigram_index.narrowed(messages, trigram_index.candidates(index, all_of, any_of))
+    return _hits(search.keyword_search(narrowed, search.matches_terms(all_of, any_of, none_of), limit))
+
+
+def keyword_search_indexed(spark, sf_dir):
+    return _indexed_search(spark, sf_dir, "HeHely")
+
+
+def keyword_wildcard_indexed(spark, sf_dir):
+    return _indexed_search(spark, sf_dir, "the%on_nst", 100)
+
+
+def keyword_boolean_indexed(spark, sf_dir):
+    return _indexed_search(spark, sf_dir, "the AND (thatin OR hehely) AND NOT ononst")
+
+
+def keyword_index_reads(spark, sf_dir):
+    """Per search: the messages the index leaves to verify (bodies read), all messages, and the matches."""
+    messages, index = _indexed_messages(spark, sf_dir)
+    rows = []
+    for name, (all_of, any_of, none_of) in INDEXED_SEARCHES.items():
+        narrowed = trigram_index.narrowed(messages, trigram_index.candidates(index, all_of, any_of))
+        counted = narrowed.agg(
+            F.count("*").alias("bodies_read"),
+            F.count_if(search.matches_terms(all_of, any_of, none_of)).alias("hits"),
+        )
+        rows.append(counted.select(F.lit(name).alias("search"), "bodies_read", "hits"))
+    whole = messages.agg(F.count("*").alias("bodies_read")).select(
+        F.lit("(all messages)").alias("search"), "bodies_read", F.lit(None).cast("bigint").alias("hits")
+    )
+    result = whole
+    for other in rows:
+        result = result.unionByName(other)
+    return result
+
+
 def _order_messages(spark, sf_dir):
     """Orders as messages; the account is the customer's segment."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -482,6 +537,10 @@ QUERIES: dict[str, Query] = {
     "keyword_search": keyword_search,
     "keyword_wildcard": keyword_wildcard,
     "keyword_boolean": keyword_boolean,
+    "keyword_search_indexed": keyword_search_indexed,
+    "keyword_wildcard_indexed": keyword_wildcard_indexed,
+    "keyword_boolean_indexed": keyword_boolean_indexed,
+    "keyword_index_reads": keyword_index_reads,
     "dossier": dossier,
     "timeline": timeline,
     "excerpt": excerpts,
