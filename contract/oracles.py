@@ -369,6 +369,20 @@ ORACLES: dict[str, str] = {
         ), ranked AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY filename) AS n FROM named)
         SELECT dir, filename, size_bytes FROM ranked WHERE n <= 10 AND filename NOT LIKE '%.XML'
     """,
+    "vector_topk_many": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), q AS (
+            SELECT * FROM v WHERE vec_id % 50 = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
+            FROM q JOIN v ON len(v.e) = (SELECT len(e) FROM q ORDER BY vec_id LIMIT 1) AND len(q.e) = len(v.e)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+    """,
     "vector_topk": f"""
         WITH hits AS (
             SELECT vec_id, list_inner_product(embedding::DOUBLE[],

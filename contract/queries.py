@@ -14,7 +14,7 @@ from contract.views import (
 from mailtables.functions import text as X
 from mailtables.functions.ids import external_id
 from mailtables.functions.times import mail_date
-from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vectors
+from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vector_search, vectors
 from mailtables.plans import ingest, messages as M, search
 from mailtables.session import scratch_dir
 from mailtables.sinks import csv_export, tables
@@ -445,6 +445,13 @@ def vector_topk(spark, sf_dir):
     return numbered.withColumn("score", F.round("score", 6)).withColumn("sent_at", bare(F.col("sent_at")))
 
 
+def vector_topk_many(spark, sf_dir):
+    """Every vector whose id is divisible by 50 as a query against all vectors: the best TOP_K of each."""
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector_search.top_k_many(embeddings.filter(F.col("vec_id") % 50 == 0), embeddings, vectors.TOP_K)
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 DIMENSIONS = 256
 
 
@@ -553,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "body_parts": body_parts,
     "attachments_top10": attachments_top10,
     "vector_topk": vector_topk,
+    "vector_topk_many": vector_topk_many,
     "hash_embed": hash_embed,
     "semantic_text": semantic_text,
     "csv_roundtrip": csv_roundtrip,

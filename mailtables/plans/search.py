@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailtables.operators.dedupe import broadcast_if_small
+
 from mailtables.functions.text import display_score, display_subject, like_anywhere
 from mailtables.operators.vectors import TOP_K, top_k
 
@@ -95,7 +97,7 @@ def semantic_search(messages: DataFrame, embeddings: DataFrame, query: list[floa
     hits = top_k(embeddings, "message_id", query, k)
     found = messages.select("message_id", "sent_at", "sender_email", "subject", "account_tag")
     ranked = (
-        found.join(hits if k is None else F.broadcast(hits), "message_id")
+        found.join(hits if k is None else broadcast_if_small(hits), "message_id")
         .select(
             "message_id",
             "score",
