@@ -313,6 +313,14 @@ ORACLES: dict[str, str] = {
         FROM pages
     """,
     "decode_bytes": "SELECT doc_id, text FROM documents",
+    # every text comes back whole: the charset that wrote it, its length in bytes, and true
+    "charset_detection": r"""
+        SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'cp1251' WHEN 2 THEN 'shift_jis' WHEN 3 THEN 'gb18030'
+                ELSE CASE WHEN regexp_matches(coalesce(text, ''), '[^\x00-\x7f\xa0-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]')
+                    THEN 'utf-8' ELSE 'cp1252' END
+            END AS charset, true AS ok
+        FROM documents
+    """,
     "processed_anti": """
         SELECT doc_id, source, n_chars FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from contract.runs import RUNS
 from contract.views import (
     DOCUMENT_RULES, PAGE_RULES, bare, conversation_mail, customer_xml, document_messages, joined, pack, page_messages, table, utc,
 )
-from mailtables.functions import text as X
+from mailtables.functions import charsets, text as X
 from mailtables.functions.ids import external_id
 from mailtables.functions.times import mail_date
 from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vector_search, vectors
@@ -378,6 +382,48 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages", heavy=True).select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
+# Letters a to z written in three other scripts, for texts that only those charsets encode.
+LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = {
+    "cp1251": "абцдефгхийклмнопярстувшжыз",
+    "shift_jis": "あいうえおかきくけこさしすせそたちつてとなにぬねのは",
+    "gb18030": "的一是不了人我在有他这中大来上国个到说们为子和你地出",
+}
+_WRITTEN = StructType([
+    StructField("charset", StringType()), StructField("text", StringType()), StructField("content", BinaryType()),
+])
+
+
+@F.pandas_udf(_WRITTEN)
+def _written(doc_ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """A document as bytes of a charset chosen by its id: Windows-1252 (UTF-8 where that cannot write it), or its
+    letters, accents taken off, written in Cyrillic, kana or Hanzi and encoded in Windows-1251, Shift-JIS or GB18030."""
+    rows = []
+    for doc_id, text in zip(doc_ids, texts):
+        text = text or ""
+        kind = list(SCRIPTS)[doc_id % 4 - 1] if doc_id % 4 else None
+        if kind is None:
+            try:
+                rows.append(("cp1252", text, text.encode("cp1252")))
+            except UnicodeEncodeError:
+                rows.append(("utf-8", text, text.encode()))
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+        plain = plain.translate(str.maketrans(LATIN_LETTERS, SCRIPTS[kind]))
+        plain = "".join(c for c in plain if ord(c) < 0x80 or c in SCRIPTS[kind])
+        rows.append((kind, plain, plain.encode(kind)))
+    return pd.DataFrame(rows, columns=["charset", "text", "content"])
+
+
+def charset_detection(spark, sf_dir):
+    """Documents written in four charsets and read back by detection: whether each text comes back whole."""
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", _written("doc_id", "text").alias("w"))
+    read = docs.select("doc_id", "w", charsets.decode_detected(F.col("w.content")).alias("r"))
+    return read.select(
+        "doc_id", F.col("w.charset").alias("charset"), (F.col("r.text") == F.col("w.text")).alias("ok"),
+    )
+
+
 def decode_bytes(spark, sf_dir):
     latin = F.encode("text", "ISO-8859-1")
     content = F.when(F.col("text").rlike(r"\A[\x00-\xff]*\z"), latin).otherwise(F.col("text").cast("binary"))
@@ -553,6 +599,7 @@ QUERIES: dict[str, Query] = {
     "excerpt": excerpts,
     "html_to_text": html_to_text,
     "decode_bytes": decode_bytes,
+    "charset_detection": charset_detection,
     "processed_anti": processed_anti,
     "upsert_latest": upsert_latest,
     "first_seen": first_seen,
