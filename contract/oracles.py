@@ -266,6 +266,9 @@ ORACLES: dict[str, str] = {
     "keyword_boolean": _search(
         f"{_like('the')} AND ({_like('thatin')} OR {_like('hehely')}) AND NOT {_like('ononst')}"
     ),
+    "keyword_query_text": _search(
+        f"{_like('thatin')} AND ({_like('hehely')} OR {_like('ononst')}) AND NOT {_like('ering ou')}"
+    ),
     "keyword_search_indexed": _search(_like("hehely")),
     "keyword_wildcard_indexed": _search(_like("the%on_nst"), 100),
     "keyword_boolean_indexed": _search(

@@ -19,7 +19,7 @@ from mailtables.functions import charsets, text as X
 from mailtables.functions.ids import external_id
 from mailtables.functions.times import mail_date
 from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vector_search, vectors
-from mailtables.plans import ingest, messages as M, search
+from mailtables.plans import ingest, messages as M, query_text, search
 from mailtables.session import scratch_dir
 from mailtables.sinks import csv_export, tables
 from mailtables.sources import calendars, files, kinds, mime, xml_messages, zips
@@ -287,6 +287,15 @@ def keyword_boolean(spark, sf_dir):
     return _hits(search.keyword_search(document_messages(table(spark, sf_dir, "documents")), wanted))
 
 
+#: The documented form of a search text, over the words of the documents.
+SEARCH_TEXT = "thatin AND (hehely OR ononst) NOT \"ering ou\""
+
+
+def keyword_query_text(spark, sf_dir):
+    wanted = query_text.condition(SEARCH_TEXT)
+    return _hits(search.keyword_search(document_messages(table(spark, sf_dir, "documents")), wanted))
+
+
 def _indexed_messages(spark, sf_dir):
     """The document messages and a trigram index of them, written as one stored batch."""
     messages = document_messages(table(spark, sf_dir, "documents"))
@@ -590,6 +599,7 @@ QUERIES: dict[str, Query] = {
     "keyword_search": keyword_search,
     "keyword_wildcard": keyword_wildcard,
     "keyword_boolean": keyword_boolean,
+    "keyword_query_text": keyword_query_text,
     "keyword_search_indexed": keyword_search_indexed,
     "keyword_wildcard_indexed": keyword_wildcard_indexed,
     "keyword_boolean_indexed": keyword_boolean_indexed,
