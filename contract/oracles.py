@@ -269,6 +269,9 @@ ORACLES: dict[str, str] = {
     "keyword_query_text": _search(
         f"{_like('thatin')} AND ({_like('hehely')} OR {_like('ononst')}) AND NOT {_like('ering ou')}"
     ),
+    "id_lookup": """
+        SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    """,
     "keyword_search_indexed": _search(_like("hehely")),
     "keyword_wildcard_indexed": _search(_like("the%on_nst"), 100),
     "keyword_boolean_indexed": _search(

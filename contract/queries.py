@@ -18,7 +18,9 @@ from contract.views import (
 from mailtables.functions import charsets, text as X
 from mailtables.functions.ids import external_id
 from mailtables.functions.times import mail_date
-from mailtables.operators import dedupe, entities, ordinals, parts, tagging, trigram_index, vector_search, vectors
+from mailtables.operators import (
+    dedupe, entities, id_buckets, ordinals, parts, tagging, trigram_index, vector_search, vectors,
+)
 from mailtables.plans import ingest, messages as M, query_text, search
 from mailtables.session import scratch_dir
 from mailtables.sinks import csv_export, tables
@@ -296,6 +298,31 @@ def keyword_query_text(spark, sf_dir):
     return _hits(search.keyword_search(document_messages(table(spark, sf_dir, "documents")), wanted))
 
 
+def _bucketed_documents(spark, sf_dir):
+    """The documents stored in id buckets, and the micro-batch of ids to look up: those labelled toxic."""
+    folder = scratch_dir(spark, "bucketed-documents")
+    id_buckets.write_bucketed(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), folder, "doc_id")
+    return folder, table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
+
+
+def id_lookup(spark, sf_dir):
+    """Stored documents of a micro-batch of ids, read from their id buckets only."""
+    folder, batch = _bucketed_documents(spark, sf_dir)
+    return id_buckets.matching(spark, folder, "doc_id", batch)
+
+
+def id_lookup_reads(spark, sf_dir):
+    """Buckets the micro-batch reads, of all buckets the store holds, and the rows it finds."""
+    folder, batch = _bucketed_documents(spark, sf_dir)
+    read = len(id_buckets.batch_buckets(batch, "doc_id"))
+    stored = spark.read.parquet(folder)
+    found = id_buckets.matching(spark, folder, "doc_id", batch)
+    return found.agg(F.count("*").alias("rows")).select(
+        F.lit(read).alias("buckets_read"), F.lit(stored.select("id_bucket").distinct().count()).alias("buckets_stored"),
+        "rows",
+    )
+
+
 def _indexed_messages(spark, sf_dir):
     """The document messages and a trigram index of them, written as one stored batch."""
     messages = document_messages(table(spark, sf_dir, "documents"))
@@ -600,6 +627,8 @@ QUERIES: dict[str, Query] = {
     "keyword_wildcard": keyword_wildcard,
     "keyword_boolean": keyword_boolean,
     "keyword_query_text": keyword_query_text,
+    "id_lookup": id_lookup,
+    "id_lookup_reads": id_lookup_reads,
     "keyword_search_indexed": keyword_search_indexed,
     "keyword_wildcard_indexed": keyword_wildcard_indexed,
     "keyword_boolean_indexed": keyword_boolean_indexed,
