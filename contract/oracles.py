@@ -413,7 +413,7 @@ ORACLES: dict[str, str] = {
     """,
     "semantic_text": f"""
         WITH texts AS (
-            SELECT message_id AS id, left({_strip('subject')} || chr(10) || chr(10) || {_strip('body')}, 2000) AS text
+            SELECT message_id AS id, {_strip('subject')} || chr(10) || chr(10) || {_strip('body')} AS text
             FROM ({_DOCUMENT_MESSAGES})
         ), e AS ({_embedding('SELECT * FROM texts')}),
         q AS ({_embedding("SELECT 0 AS id, 'thatin hehely ononst' AS text")}),
