@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailtables.functions.text import decode_bytes, file_name, html_to_text, looks_like_html, parent_dir, strip
 from mailtables.sources.kinds import ATTACHMENT_DIR, BODY_PART
 
-_SALTS = 64
+def _task_cut(group: str, amount: str, cap: int):
+    """The cut of one task's rows, sorted by group and order: a row stays while the amounts before it in its group,
+    within the task, stay below `cap` and its own amount is above 0. Only group and amount are read in Python; the
+    other columns stay in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, running = object(), 0
+        for batch in batches:
+            groups = batch.column(group).to_pylist()
+            amounts = batch.column(amount).to_pylist()
+            keep = []
+            for g, a in zip(groups, amounts):
+                if g != current or (g is None) != (current is None):
+                    current, running = g, 0
+                keep.append(running < cap and a is not None and a > 0)
+                running += a or 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def take_until(rows: DataFrame, group: str, order: str, amount: str, cap: int) -> DataFrame:
-    """Per group, rows in `order` while the amounts before a row stay below `cap`; rows of amount 0 are left out.
+    """Per group, rows in `order` while the amounts before a row stay below `cap`; rows of amount 0 (or null) are left
+    out.
 
-    A row that is cut among some of its group's rows is cut among all of them. So the rows of each input task
-    are cut first, then those of each salt, then the whole group: the last step gets at most `cap` plus one row
-    from each salt, even if one group holds a third of the data.
+    A row that is cut among some of its group's rows is cut among all of them. So each task first cuts its own rows,
+    sorted in place (no shuffle), and hands on at most `cap` worth and one row more of every group; one shuffle by
+    group follows, and a window over what is left makes the final cut. A group that holds a third of the data sends
+    at most that prefix from each task.
     """
-    cut = rows.withColumn("_task", F.spark_partition_id())
-    salt = F.pmod(F.xxhash64(order), F.lit(_SALTS))
-    for within in ([F.col(group), F.col("_task")], [F.col(group), salt], [F.col(group)]):
-        before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        cut = cut.withColumn("_before", F.coalesce(F.sum(amount).over(before), F.lit(0)))
-        # Asking for the amount here and not before the window keeps the test out of the steps that computed it.
-        cut = cut.where((F.col("_before") < cap) & (F.col(amount) > 0)).drop("_before")
-    return cut.drop("_task")
+    staged = rows.sortWithinPartitions(group, order)
+    cut = staged.mapInArrow(_task_cut(group, amount, cap), staged.schema)
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_before", F.coalesce(F.sum(amount).over(before), F.lit(0)))
+    return cut.where((F.col("_before") < cap) & (F.col(amount) > 0)).drop("_before")
 
 
 def part_texts(files: DataFrame, part_bytes: int | None = None) -> DataFrame:

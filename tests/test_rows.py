@@ -153,3 +153,22 @@ def test_dossier_report_does_not_read_bodies(spark, tmp_path):
 def test_timeline_sort_is_distributed(spark):
     text = search.timeline(messages(spark), "Acme")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in text
+
+
+def test_take_until_cuts_hot_groups_in_one_shuffle(spark):
+    from mailtables.operators.parts import take_until
+
+    rows = [("hot", f"n{i:05d}", i % 7) for i in range(3000)] + [("cold", "a", 5), ("cold", "b", None), (None, "x", 3),
+                                                                  (None, "y", 3), ("cold", "c", 0), ("cold", "d", 9)]
+    frame = spark.createDataFrame(rows, "dir string, name string, chars int").repartition(9)
+    got = sorted((r["dir"] or "", r["name"]) for r in take_until(frame, "dir", "name", "chars", 20).collect())
+    want = []
+    for group in ("hot", "cold", None):
+        before = 0
+        for _, name, chars in sorted(r for r in rows if r[0] == group):
+            if before < 20 and (chars or 0) > 0:
+                want.append((group or "", name))
+            before += chars or 0
+    assert got == sorted(want)
+    plan = take_until(frame, "dir", "name", "chars", 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(dir") == 1
