@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -184,7 +184,12 @@ def store_batch(
 
     # The messages files also hold the lists the narrow tables are made of, so bodies are written once. Readers
     # ask for the table's own columns. Sorted files let a query for one account or period skip row groups.
-    tables.write_batch(complete.sortWithinPartitions("account_tag", "sent_at"), store, "messages", batch)
+    # the rows are counted while they are written (an observation), not by a job of their own afterwards
+    written = Observation(f"messages-{batch}")
+    tables.write_batch(
+        complete.observe(written, F.count(F.lit(1)).alias("rows")).sortWithinPartitions("account_tag", "sent_at"),
+        store, "messages", batch,
+    )
     complete = spark.read.parquet(f"{store}/messages/batch={batch}")
     tables.write_batch(M.attachment_rows(complete), store, "attachments", batch)
     tables.write_batch(entities.entity_rows(complete), store, "entities", batch)
@@ -212,4 +217,4 @@ def store_batch(
                 inputs = inputs.unionByName(other.select("path", "modified").distinct())
         inputs = inputs.distinct()
     tables.write_batch(inputs, store, "inputs", batch)
-    tables.commit(spark, store, batch, complete.count())
+    tables.commit(spark, store, batch, written.get["rows"])
