@@ -50,5 +50,5 @@ def test_empty(spark, tmp_path):
     folder = str(tmp_path / "index")
     frame = messages(spark, [])
     T.write_batch(frame, folder)
-    index = spark.read.schema("id bigint, gram string").parquet(folder)
+    index = spark.read.schema("id bigint, gram bigint").parquet(folder)
     assert T.narrowed(frame, T.candidates(index, ["hehely"])).count() == 0
