@@ -59,12 +59,12 @@ _TAGGED_DOCUMENTS = """
 """
 
 
-def _search(condition: str, limit: int = 50) -> str:
+def _search(condition: str, limit: int | None = 50) -> str:
     return f"""
         SELECT row_number() OVER (ORDER BY sent_at DESC NULLS LAST, message_id) AS pos, message_id, sent_at,
                sender_email, account_tag, left(subject, 80) AS subject
         FROM ({_DOCUMENT_MESSAGES}) WHERE {condition}
-        ORDER BY sent_at DESC NULLS LAST, message_id LIMIT {limit}
+        ORDER BY sent_at DESC NULLS LAST, message_id {'' if limit is None else f'LIMIT {limit}'}
     """
 
 
@@ -272,6 +272,9 @@ ORACLES: dict[str, str] = {
     "id_lookup": """
         SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
     """,
+    "keyword_query_all": _search(
+        f"{_like('thatin')} AND ({_like('hehely')} OR {_like('ononst')}) AND NOT {_like('ering ou')}", None
+    ),
     "keyword_search_indexed": _search(_like("hehely")),
     "keyword_wildcard_indexed": _search(_like("the%on_nst"), 100),
     "keyword_boolean_indexed": _search(

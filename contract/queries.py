@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -323,6 +324,12 @@ def id_lookup_reads(spark, sf_dir):
     )
 
 
+def keyword_query_all(spark, sf_dir):
+    """Every message that the search text finds, newest first: the report without its 50-row limit."""
+    wanted = query_text.condition(SEARCH_TEXT)
+    return _hits(search.keyword_search(document_messages(table(spark, sf_dir, "documents")), wanted, None))
+
+
 def _indexed_messages(spark, sf_dir):
     """The document messages and a trigram index of them, written as one stored batch."""
     messages = document_messages(table(spark, sf_dir, "documents"))
@@ -425,6 +432,8 @@ SCRIPTS = {
     "shift_jis": "あいうえおかきくけこさしすせそたちつてとなにぬねのは",
     "gb18030": "的一是不了人我在有他这中大来上国个到说们为子和你地出",
 }
+_MARKS = re.compile("[\u0300-\u036f]")
+_OTHERS = {kind: re.compile(f"[^\\x00-\\x7f{letters}]") for kind, letters in SCRIPTS.items()}
 _WRITTEN = StructType([
     StructField("charset", StringType()), StructField("text", StringType()), StructField("content", BinaryType()),
 ])
@@ -444,9 +453,8 @@ def _written(doc_ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
             except UnicodeEncodeError:
                 rows.append(("utf-8", text, text.encode()))
             continue
-        plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-        plain = plain.translate(str.maketrans(LATIN_LETTERS, SCRIPTS[kind]))
-        plain = "".join(c for c in plain if ord(c) < 0x80 or c in SCRIPTS[kind])
+        plain = _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
+        plain = _OTHERS[kind].sub("", plain.translate(str.maketrans(LATIN_LETTERS, SCRIPTS[kind])))
         rows.append((kind, plain, plain.encode(kind)))
     return pd.DataFrame(rows, columns=["charset", "text", "content"])
 
@@ -627,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "keyword_wildcard": keyword_wildcard,
     "keyword_boolean": keyword_boolean,
     "keyword_query_text": keyword_query_text,
+    "keyword_query_all": keyword_query_all,
     "id_lookup": id_lookup,
     "id_lookup_reads": id_lookup_reads,
     "keyword_search_indexed": keyword_search_indexed,
