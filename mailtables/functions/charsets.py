@@ -11,6 +11,7 @@ read as Windows-1252). The best decoding wins; below `LEAST_SCORE` the bytes fal
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,65 +23,63 @@ FALLBACK = "iso-8859-1"
 LEAST_SCORE = 0.5
 
 
-def _script(code: int) -> str:
-    if code < 0x250:
-        return "latin"
-    if 0x370 <= code < 0x400:
-        return "greek"
-    if 0x400 <= code < 0x530:
-        return "cyrillic"
-    if 0x3040 <= code < 0x3100 or 0x4E00 <= code < 0xA000 or 0x3400 <= code < 0x4DC0 or 0xFF61 <= code < 0xFFA0:
-        return "cjk"
-    if 0xAC00 <= code < 0xD7B0:
-        return "hangul"
-    return "other"
+def _level_one() -> np.ndarray:
+    """Hanzi of the first level of GB2312 (the 3,755 most common), as a mask over U+4E00 to U+9FFF."""
+    mask = np.zeros(0xA000 - 0x4E00, dtype=bool)
+    for lead in range(0xB0, 0xD8):
+        for trail in range(0xA1, 0xFF):
+            try:
+                code = ord(bytes((lead, trail)).decode("gb2312"))
+            except UnicodeDecodeError:
+                continue
+            if 0x4E00 <= code < 0xA000:
+                mask[code - 0x4E00] = True
+    return mask
 
 
-def _common(ch: str, code: int) -> float:
-    """How common a letter is in running text of its script: 1 for the core letters, less for the rest."""
-    if code < 0x80:
-        return 1.0
-    if code < 0x250:
-        return 0.8
-    if 0x410 <= code < 0x450 or code in (0x401, 0x451):
-        return 1.0
-    if 0x3041 <= code < 0x3097 or 0x30A1 <= code < 0x30FB:
-        return 1.0
-    if 0x4E00 <= code < 0xA000:
-        try:
-            encoded = ch.encode("gb2312")
-        except UnicodeEncodeError:
-            return 0.2
-        return 1.0 if 0xB0 <= encoded[0] <= 0xD7 else 0.5
-    return 0.1
+_LEVEL_ONE = _level_one()
+# scripts: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 CJK (kana, Hanzi, half-width kana), 5 Hangul
+_RANGES = [
+    (0x41, 0x5B, 1), (0x61, 0x7B, 1), (0xC0, 0xD7, 1), (0xD8, 0xF7, 1), (0xF8, 0x250, 1), (0x370, 0x400, 2),
+    (0x400, 0x530, 3), (0x3041, 0x3097, 4), (0x30A1, 0x30FB, 4), (0x3400, 0x4DC0, 4), (0x4E00, 0xA000, 4),
+    (0xFF66, 0xFFA0, 4), (0xAC00, 0xD7B0, 5),
+]
 
 
 def plausibility(text: str) -> float:
-    """A score of how much a decoded text looks like text; higher is likelier, 1 at most."""
-    letters = common = bad = mixed = latin = accented = 0
-    words = 0
-    scripts: set[str] = set()
-    for ch in text + " ":
-        code = ord(ch)
-        if ch.isalpha():
-            letters += 1
-            common += _common(ch, code)
-            script = _script(code)
-            scripts.add(script)
-            if script == "latin":
-                latin += 1
-                accented += code >= 0x80
-            continue
-        if scripts:
-            words += 1
-            mixed += len(scripts) > 1
-            scripts = set()
-        if (code < 0x20 and ch not in "\t\n\r\f") or 0x7F <= code < 0xA0 or 0xE000 <= code < 0xF900 or ch == "�":
-            bad += 1
-    if not letters:
-        return 1.0 - bad / max(len(text), 1)
-    score = common / letters - 2 * bad / max(len(text), 1) - mixed / max(words, 1)
-    if latin > letters / 2 and accented > 0.4 * latin:
+    """A score of how much a decoded text looks like text; higher is likelier, 1 at most. Vectorized over code
+    points: the share of letters that are common in their script, less control and unassigned characters (twice),
+    less the share of words that mix scripts, less 0.5 for Latin text whose letters are mostly accented."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("int64")
+    if not len(codes):
+        return 1.0
+    script = np.zeros(len(codes), dtype="int8")
+    for low, high, kind in _RANGES:
+        script[(codes >= low) & (codes < high)] = kind
+    letters = script > 0
+    bad = int((((codes < 0x20) & ~np.isin(codes, (9, 10, 12, 13))) | ((codes >= 0x7F) & (codes < 0xA0))
+               | ((codes >= 0xE000) & (codes < 0xF900)) | (codes == 0xFFFD)).sum())
+    n = int(letters.sum())
+    if not n:
+        return 1.0 - bad / len(codes)
+    common = np.where(codes < 0x80, 1.0, 0.0)
+    common = np.where((script == 1) & (codes >= 0x80), 0.8, common)
+    common = np.where((codes >= 0x410) & (codes < 0x450) | (codes == 0x401) | (codes == 0x451), 1.0, common)
+    common = np.where((codes >= 0x3041) & (codes < 0x3097) | (codes >= 0x30A1) & (codes < 0x30FB), 1.0, common)
+    hanzi = (codes >= 0x4E00) & (codes < 0xA000)
+    level = np.zeros(len(codes), dtype=bool)
+    level[hanzi] = _LEVEL_ONE[codes[hanzi] - 0x4E00]
+    common = np.where(hanzi, np.where(level, 1.0, 0.3), common)
+    common = np.where(letters & (common == 0), 0.1, common)
+    starts = np.flatnonzero(letters & ~np.concatenate(([False], letters[:-1])))
+    # a word's slice runs to the next word's start; what lies between is no letter, so it counts neither way
+    low = np.minimum.reduceat(np.where(letters, script, 127), starts)
+    high = np.maximum.reduceat(script, starts)
+    mixed = float((low != high).sum()) / len(starts)
+    latin = int((script == 1).sum())
+    accented = int(((script == 1) & (codes >= 0x80)).sum())
+    score = float(common[letters].sum()) / n - 2 * bad / len(codes) - mixed
+    if latin > n / 2 and accented > 0.4 * latin:
         score -= 0.5
     return score
 
