@@ -221,7 +221,7 @@ def customer_rules(spark, sf_dir) -> tagging.Rules:
         F.array(F.initcap(_syllable_word(key * 3 + 1))).alias("partners"),
         F.array(_syllable_word(key * 5 + 3)).alias("keywords"),
     )
-    return tagging.rules_from_table(accounts)
+    return tagging.table_rules(accounts)
 
 
 def tag_many_accounts(spark, sf_dir):

@@ -37,7 +37,10 @@ LITERAL_WORDS = 64
 
 @dataclass(frozen=True)
 class Rules:
-    """Account rules in config order, and the overrides that win over them."""
+    """Account rules in config order, and the overrides that win over them.
+
+    Accounts are either listed or, when they are too many for one machine, rows of `table` (see `table_rules`).
+    """
 
     accounts: tuple[Account, ...] = ()
     addresses: dict[str, str] = field(default_factory=dict)
@@ -46,6 +49,7 @@ class Rules:
     domain_weight: int = DOMAIN_WEIGHT
     alias_weight: int = ALIAS_WEIGHT
     threshold: int = THRESHOLD
+    table: DataFrame | None = None
 
 
 def rules_from_config(config: dict) -> Rules:
@@ -75,7 +79,14 @@ def rules_from_config(config: dict) -> Rules:
     )
 
 
-#: A rule table is read into the driver, which builds the automata's word lists from it, only within these bounds.
+def table_rules(rows: DataFrame, **weights) -> Rules:
+    """Rules whose accounts are the rows of a table (see `rules_from_table`), of any size: they stay with Spark, and
+    tasks read them in runs of bounded size. Accounts of one place go by name."""
+    columns = ("place", "name", "aliases", "domains", "partners", "keywords")
+    return Rules(table=rows.select(*columns), **weights)
+
+
+#: `rules_from_table` reads a rule table into the driver, as listed accounts, only within these bounds.
 TABLE_ROWS = 2_000_000
 TABLE_BYTES = 256 << 20
 
@@ -114,10 +125,14 @@ def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring", me
     reaches the threshold is primary, and the partners of every account, primary or not, are tagged when the
     text names them. `match="word"` asks for whole words where the default takes any substring.
 
+    Rules whose accounts are a table's rows always take the method `table`.
+
     `method`: `expressions` writes one `contains` per rule word into the plan; `table` scans each text once with
     automata over all words (`rule_table`), so the plan does not grow with the rules; `auto` takes the table beyond
     `LITERAL_WORDS` words. Both give the same rows.
     """
+    if rules.table is not None and method == "expressions":
+        raise ValueError("the accounts of a table are not written into the plan as expressions")
     blank = F.lit("")
     recipients = [F.concat_ws("\n", c) for c in ("recipients_to", "recipients_cc", "recipients_bcc")]
     staged = messages.withColumn(
@@ -125,7 +140,7 @@ def tag_accounts(messages: DataFrame, rules: Rules, match: str = "substring", me
     ).withColumn("_addresses", F.lower(F.concat_ws("\n", F.col("sender_email"), *recipients)))
     if len(rules.addresses) > LITERAL_ADDRESSES:
         staged = _listed(staged, rules.addresses)
-    if method == "table" or (method == "auto" and rule_words(rules) > LITERAL_WORDS):
+    if rules.table is not None or method == "table" or (method == "auto" and rule_words(rules) > LITERAL_WORDS):
         staged, primary, named = rule_table.tag_by_table(staged, rules, match)
         found = staged.withColumn("_override", _override(rules)).withColumn("_primary", primary).withColumn(
             "_partners", named
