@@ -30,20 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return spread(rows) if heavy else rows
 
 
+#: Entries of one archive; zipfile keeps what it wrote in memory until the archive is closed.
+ARCHIVE_ENTRIES = 20_000
+
+
 def pack(rows: DataFrame, folder: str) -> None:
-    """Write rows (path, content) into zip archives below `folder`, one per task, named after its partition, so that a
-    repeated task writes the same file again."""
+    """Write rows (path, content) into zip archives below `folder`, one per task and `ARCHIVE_ENTRIES`, named after its
+    partition, so that a repeated task writes the same files again. Later archives of a task sort after its first."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = files.locate(folder)
         filesystem.create_dir(base, recursive=True)
         stream = archive = None
+        count = 0
         for batch in batches:
             for row in batch.to_pylist():
+                if archive is not None and count % ARCHIVE_ENTRIES == 0:
+                    archive.close()
+                    stream.close()
+                    archive = None
                 if archive is None:
-                    stream = filesystem.open_output_stream(f"{base}/part-{row['part']}.zip")
+                    later = f".zz{count // ARCHIVE_ENTRIES:09d}" if count else ""
+                    stream = filesystem.open_output_stream(f"{base}/part-{row['part']}{later}.zip")
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
                 archive.writestr(row["path"], row["content"])
+                count += 1
         if archive is not None:
             archive.close()
             stream.close()

@@ -6,6 +6,7 @@ neither a large archive nor one with many entries passes through a single task,
 
 from __future__ import annotations
 
+import io
 import math
 import struct
 import zipfile
@@ -39,6 +40,8 @@ _LISTING_ARROW = pa.schema(
     ]
 )
 _CHUNK = 1 << 20
+#: Bytes of an archive's directory that are parsed at a time, some 3,000 entries.
+_DIRECTORY_BYTES = 256 << 10
 _BATCH_BYTES = 16 << 20
 _TASK_BYTES = 64 << 20
 
@@ -65,27 +68,76 @@ def read_zip_entries(listing: DataFrame, kind: str | None = None) -> DataFrame:
     return spread.sortWithinPartitions("archive", "header_offset").mapInArrow(_read_entries, RAW)
 
 
+def _directory(file) -> Iterator[list[zipfile.ZipInfo]]:
+    """The entries of an archive in pieces of its directory, so that memory does not grow with their number.
+
+    Each piece is parsed by `zipfile`, as the directory of an archive of its own.
+    """
+    try:
+        end = zipfile._EndRecData(file)
+    except OSError:
+        end = None
+    if not end:
+        raise zipfile.BadZipFile("File is not a zip file")
+    left, offset = end[zipfile._ECD_SIZE], end[zipfile._ECD_OFFSET]
+    # what stands before the archive in its file
+    ahead = end[zipfile._ECD_LOCATION] - left - offset
+    if end[zipfile._ECD_SIGNATURE] == zipfile.stringEndArchive64:
+        ahead -= zipfile.sizeEndCentDir64 + zipfile.sizeEndCentDir64Locator
+    if offset + ahead < 0:
+        raise zipfile.BadZipFile("Bad offset for central directory")
+    file.seek(offset + ahead)
+    data = b""
+    while left > 0:
+        piece = file.read(min(_DIRECTORY_BYTES, left))
+        if not piece:
+            raise zipfile.BadZipFile("Truncated central directory")
+        left -= len(piece)
+        data += piece
+        used = count = 0
+        while used + zipfile.sizeCentralDir <= len(data):
+            # names, extra fields and comments follow an entry's fixed part; a last one cut short is left to zipfile
+            after = used + zipfile.sizeCentralDir + sum(struct.unpack_from("<3H", data, used + 28))
+            if after > len(data) and left > 0:
+                break
+            used, count = min(after, len(data)), count + 1
+        if left <= 0 and used < len(data):
+            raise zipfile.BadZipFile("Truncated central directory")
+        if not count:
+            continue
+        own_end = struct.pack(zipfile.structEndArchive, zipfile.stringEndArchive, 0, 0, count, count, used, 0, 0)
+        with zipfile.ZipFile(io.BytesIO(data[:used] + own_end)) as part:
+            entries = part.infolist()
+        for info in entries:
+            info.header_offset += ahead
+        yield entries
+        data = data[used:]
+
+
 def _list_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     empty = dict.fromkeys(_LISTING_ARROW.names)
     for batch in batches:
         for row in batch.to_pylist():
             archive = row["path"]
             base = empty | {"archive": archive, "path": archive, "modified": row["modified"]}
-            rows = []
             try:
-                with open_file(archive) as file, zipfile.ZipFile(file) as zipped:
-                    for info in zipped.infolist():
-                        if not info.is_dir():
-                            rows.append(base | {
+                with open_file(archive) as file:
+                    # a broken directory is one error row without entries, so all of it is parsed before any row leaves
+                    for _ in _directory(file):
+                        pass
+                    for entries in _directory(file):
+                        yield pa.RecordBatch.from_pylist([
+                            base | {
                                 "entry": info.filename, "path": f"{archive}!/{info.filename}",
                                 "size_bytes": info.file_size, "header_offset": info.header_offset,
                                 "packed_bytes": info.compress_size, "method": info.compress_type,
                                 "crc": info.CRC,
-                            })
+                            }
+                            for info in entries if not info.is_dir()
+                        ], schema=_LISTING_ARROW)
             except Exception as error:
-                rows = [base | {"error": f"{type(error).__name__}: {error}"}]
-            for start in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_pylist(rows[start:start + 10_000], schema=_LISTING_ARROW)
+                failed = base | {"error": f"{type(error).__name__}: {error}"}
+                yield pa.RecordBatch.from_pylist([failed], schema=_LISTING_ARROW)
 
 
 def _unpacked(file, row: dict) -> Iterator[bytes]:
