@@ -28,7 +28,7 @@ class _Places(dict):
         self.dimensions = dimensions
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         place = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions
         self[word] = place

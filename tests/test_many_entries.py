@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from contract import views
+from mailtables.operators import vectors
 from mailtables.sources import zips
 
 AT = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -88,3 +89,12 @@ def test_packed_archives_have_bounded_entries(spark, tmp_path, monkeypatch):
     assert [len(entries) for entries in found.values()] == [10, 10, 5]
     assert list(found)[0] == "part-0.zip"
     assert sum(found.values(), []) == [(f"m/{i}", b"text %d" % i) for i in range(25)]
+
+
+def test_remembered_words_are_bounded():
+    encode = vectors.hashing_encoder(16)
+    words = ["".join(chr(97 + n // 26 ** k % 26) for k in range(5)) for n in range(150_000)]
+    alone = vectors.hashing_encoder(16)(words[-1:])
+    assert (encode(words)[-1] == alone[0]).all()
+    places = encode.__closure__[[c.__class__.__name__ for c in (x.cell_contents for x in encode.__closure__)].index("_Places")]
+    assert len(places.cell_contents) <= 100_000
